@@ -6,6 +6,7 @@ from tessera.llm.decontam import OP10_SQL, op10_decontamination
 from tessera.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from tessera.llm.packing import op2_packing
 from tessera.llm.secrets import op3_secret_scan
+from tessera.llm.token_counts import op8_token_counts
 from tessera.llm.token_files import op6_token_files
 from tessera.llm.warc import OP5_SQL, op5_warc
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op5_warc": op5_warc,
         "op6_token_files": op6_token_files,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_token_counts": op8_token_counts,
         "op10_decontamination": op10_decontamination,
     }
 
