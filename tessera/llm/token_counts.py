@@ -17,6 +17,7 @@ Whole texts of any length are counted.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ _WHITE, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{_WHITE})[^\p{{L}}\p{{N}}])+|{_WHITE}+(?!{_SOLID})|{_WHITE}+")
 PIECES = regex.compile(rf"{_WHITE}*{_SOLID}+|{_WHITE}+")
 HEAD = regex.compile(rf"{_WHITE}*")
+#: Letters, then punctuation: two words of the splitting.
+SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*#$%&|]*)")
 SPACED = regex.compile(rf"{_WHITE} ")
 STORE = "doc_id long, n_bytes long, n_tokens long, width int, changes binary"
 
@@ -123,70 +126,98 @@ class Vocabulary:
         return count
 
 
+def _packed(counts: list[int]) -> bytes:
+    """Changes between counts as signed bytes."""
+    changes = [b - a for a, b in zip(counts, counts[1:])]
+    if changes and (max(changes) > 127 or min(changes) < -128):
+        raise OverflowError("a change of the count does not fit a byte")
+    return bytes([c & 255 for c in changes])
+
+
+def _sum(changes: bytes) -> int:
+    return int(np.frombuffer(changes, np.int8).sum(dtype=np.int64))
+
+
 class PrefixCounter:
     """Changes of the count by code point, for whole texts."""
 
     def __init__(self, vocabulary: str = DEFAULT_VOCABULARY, capacity: int = CAPACITY):
         self.vocabulary, self.capacity = Vocabulary(vocabulary), capacity
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Counts after each code point of one word of the splitting."""
+    def _word(self, word: str) -> bytes:
+        """Changes by each code point of one word of the splitting."""
         if (found := self.words.get(word)) is None:
-            if len(self.words) >= self.capacity:
-                self.words.clear()
             counts = self.vocabulary.counts(word.encode())
-            if word.isascii():
-                found = tuple(counts[1:])
-            else:
-                ends = np.cumsum([len(c.encode()) for c in word]).tolist()
-                found = tuple(counts[e] for e in ends)
-            if len(word) > 2 and word[0] == "'" and word in ("'re", "'ve", "'ll"):  # "'r" is two words
-                found = (1, 1 + self._word(word[1])[-1], found[-1])
-            self.words[word] = found
+            if not word.isascii():
+                counts = [0] + [counts[e] for e in np.cumsum([len(c.encode()) for c in word]).tolist()]
+            if word in ("'re", "'ve", "'ll"):  # "'r" is two words
+                counts[2] = 1 + _sum(self._word(word[1]))
+            found = _packed(counts)
+            if len(word) < 64:
+                if len(self.words) >= self.capacity:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
-    def _segment(self, text: str) -> list[int]:
-        """Counts after each code point of white space followed by none, as it stands after a solid character."""
+    def _segment(self, text: str) -> bytes:
+        """Changes within white space and what follows it up to the next, as they are after a solid character."""
         blank = HEAD.match(text).end()
-        found = list(self._word(text[:blank])) if blank else []
         if blank == len(text):
-            return found
-        base, at = 0, blank
-        if blank:
-            at = blank - 1
-            base = self._word(text[:at])[-1] if at else 0
-            if text[at] != " ":
-                base += self._word(text[at])[-1]
-                at = blank
-        solid = []
-        for word in WORDS.findall(text[at:]):
-            solid += [base + c for c in self._word(word)]
-            base = solid[-1]
-        return found + solid[blank - at :]
-
-    def counts(self, text: str) -> list[int]:
-        """Counts after each code point of an ordinary text."""
-        found, base = [], 0
-        for piece in PIECES.findall(text):
-            found += [base + c for c in self._segment(piece)]
-            base = found[-1]
-        return found
+            return self._word(text)
+        if blank < 2:
+            head = b"" if text[:1] == " " or not blank else self._word(text[0])
+            return head + b"".join(map(self._word, WORDS.findall(text[1:] if head else text)))
+        # The white space is one word while nothing follows it; then its last character leaves it.
+        space, rest = self._word(text[:blank]), text[blank:]
+        if text[blank - 1] == " ":
+            base = _sum(self._word(text[: blank - 1]))
+            solid = b"".join(map(self._word, WORDS.findall(" " + rest)))
+            first = base + _sum(solid[:2]) - _sum(space)
+            return space + _packed([0, first]) + solid[2:]
+        base = _sum(self._word(text[: blank - 1])) + _sum(self._word(text[blank - 1]))
+        solid = b"".join(map(self._word, WORDS.findall(rest)))
+        return space + _packed([0, base + _sum(solid[:1]) - _sum(space)]) + solid[1:]
 
     def _piece(self, piece: str) -> bytes:
+        """Changes by each code point of an ordinary text that starts where no token crosses."""
         if (found := self.pieces.get(piece)) is None:
-            counts = np.array([0, *self.counts(piece)])
-            changes = np.diff(counts)
-            if len(changes) and np.abs(changes).max() > 127:
-                raise OverflowError
-            found = changes.astype(np.int8).tobytes()
+            if m := SIMPLE.fullmatch(piece):
+                found = self._word(m[1]) + self._word(m[2]) if m[2] else self._word(m[1])
+            else:
+                found = b"".join(map(self._segment, PIECES.findall(piece)))
             if len(piece) < 64:
                 if len(self.pieces) >= self.capacity:
                     self.pieces.clear()
                 self.pieces[piece] = found
         return found
 
+    def _wide(self, text: str) -> np.ndarray:
+        """As integers, for texts where a change does not fit a byte: the counts of each word, one by one."""
+        changes = []
+        for segment in PIECES.findall(text):
+            blank = HEAD.match(segment).end()
+            ends = [blank] if blank == len(segment) else []
+            counts, at = [0], 0
+            for k in range(1, blank + 1):
+                counts.append(self.vocabulary.counts(segment[:k].encode())[-1])
+            if not ends:
+                at = blank - 1 if blank and segment[blank - 1] == " " else blank
+                base = sum(self.vocabulary.counts(x.encode())[-1] for x in (segment[: max(0, blank - 1)], segment[blank - 1 : at] if blank else ""))
+                for word in WORDS.findall(segment[at:]):
+                    own = self.vocabulary.counts(word.encode())
+                    inner = [own[e] for e in np.cumsum([len(c.encode()) for c in word]).tolist()]
+                    if word in ("'re", "'ve", "'ll"):
+                        inner[1] = 1 + self.vocabulary.counts(word[1].encode())[-1]
+                    start = at
+                    for k, c in enumerate(inner):
+                        if start + k >= blank:
+                            counts.append(base + c)
+                    at, base = at + len(word), base + inner[-1]
+            changes.append(np.diff(np.array(counts)))
+        return np.concatenate(changes).astype(np.int32)
+
     def _ordinary(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int8)
@@ -198,7 +229,7 @@ class PrefixCounter:
             found += map(self._piece, [f" {x}" for x in rest])
             return np.frombuffer(b"".join(found), np.int8)
         except OverflowError:
-            return np.diff(np.array([0, *self.counts(text)])).astype(np.int32)
+            return self._wide(text)
 
     def changes(self, text: str) -> np.ndarray:
         """How the count changes by each code point; special tokens' strings count one when whole."""
