@@ -1 +1,88 @@
-STAGES = []
+"""A training corpus from raw documents: quality, exact and near duplicates, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+A stage's result is to be written as Parquet, and the next stage reads that: a stage deletes the scratch tables of
+the one before it.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import release, store, text_or_empty
+from tessera.llm.decontam import drop_contaminated
+from tessera.llm.exact_dedup import exact_duplicates, normalised
+from tessera.llm.packing import pack
+from tessera.llm.quality import fit_quality, keep_quality
+from tessera.llm.simhash import near_duplicates
+
+#: Up to so many dropped rows are sent to all executors (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_DROPPED = 300_000
+
+
+def _without(docs: DataFrame, dropped: DataFrame, key: F.Column, scope: str) -> DataFrame:
+    """docs without the rows whose doc_id and key are in dropped(id, key)."""
+    dropped = store(dropped, "dropped", scope)
+    if dropped.count() <= BROADCAST_DROPPED:
+        dropped = F.broadcast(dropped)
+    names = docs.columns
+    keyed = docs.withColumn("_row_key", key)
+    same = reduce(lambda a, b: a & b, (keyed["doc_id"].eqNullSafe(dropped["id"]), keyed["_row_key"] == dropped["key"]))
+    return keyed.join(dropped, same, "left_anti").select(*names)
+
+
+def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject. Without a model none is rejected."""
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs if model is None else keep_quality(docs, model)
+
+
+def exact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    found = exact_duplicates(docs, "pipeline-exact")
+    dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key"))
+    return _without(docs, dropped, F.sha2(normalised(text_or_empty()), 256), "pipeline-exact")
+
+
+def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of five words, similarity of 0.8."""
+    release(spark, "pipeline-exact")
+    found = near_duplicates(docs, scope="pipeline-near")
+    dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("key"))
+    return _without(docs, dropped, F.xxhash64(text_or_empty()), "pipeline-near")
+
+
+def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    release(spark, "pipeline-near")
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences."""
+    return pack(docs, scope="pipeline-pack")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("simhash_near_dedup", near_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}", f"pipeline-out-{k}")
+        release(spark, f"pipeline-out-{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: The classifier and the sketches of near duplicates cannot be expressed in SQL.
+ORACLE_SQL = None

@@ -107,3 +107,17 @@ def write_file(uri: str, name: str, chunks: list[bytes]) -> None:
         for chunk in chunks:
             out.write(chunk)
     filesystem.move(temporary, f"{folder}/{name}")
+
+
+def filter_arrow(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of df, unchanged, for whose value of a column the test that make() returns says True."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            if batch.num_rows:
+                out = batch.filter(pa.array(test(batch.column(column).to_pylist()), pa.bool_()))
+                if out.num_rows:
+                    yield out
+
+    return df.mapInArrow(run, df.schema)

@@ -19,14 +19,17 @@ size, so the benchmark may grow; documents are streamed, each whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_rows, map_arrow, text_or_empty
+from tessera.llm.common import batch_rows, filter_arrow, map_arrow, text_or_empty
 
 WORD = re.compile(r"[^\W_]+")
 WIDTH, THRESHOLD = 5, 0.8
@@ -110,21 +113,25 @@ class ItemIndex:
         return found
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_found, containment) for all pairs of a document and an item in it."""
-    spark = docs.sparkSession
-    batch_rows(spark, 512)
+def _blocks(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The items, in blocks of a bounded size (see BLOCK_BYTES), as broadcasts."""
     items = benchmark.select(F.col("item_id").cast("long"), text_or_empty().alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    found = None
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        texts = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # of a bounded size, see BLOCK_BYTES
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+
+
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_found, containment) for all pairs of a document and an item in it."""
+    batch_rows(docs.sparkSession, 512)
+    docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    found = []
+    for items in _blocks(benchmark):
 
-        def make(texts=texts):
-            index = ItemIndex(texts.value, width, threshold)
+        def make(items=items):
+            index = ItemIndex(items.value, width, threshold)
 
             def step(batch: pa.RecordBatch) -> dict[str, object]:
                 rows = [(d, i, n, f, f / n) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, n, f in index.search(t)]
@@ -133,9 +140,21 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
 
             return step
 
-        pairs = map_arrow(docs, SCHEMA, make)
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
+        found.append(map_arrow(docs, SCHEMA, make))
+    return reduce(DataFrame.unionByName, found)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, in which no item is found."""
+    batch_rows(docs.sparkSession, 512)
+    for items in _blocks(benchmark):
+
+        def make(items=items):
+            index = ItemIndex(items.value, width, threshold)
+            return lambda texts: [not index.search(t or "") for t in texts]
+
+        docs = filter_arrow(docs, "text", make)
+    return docs
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

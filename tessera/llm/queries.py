@@ -8,6 +8,7 @@ from tessera.llm.packing import op2_packing
 from tessera.llm.quality import op9_quality_classifier
 from tessera.llm.secrets import op3_secret_scan
 from tessera.llm.simhash import op1_simhash
+from tessera.llm.suffix_tree import op4_lm_scoring
 from tessera.llm.token_counts import op8_token_counts
 from tessera.llm.token_files import op6_token_files
 from tessera.llm.warc import OP5_SQL, op5_warc
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_simhash": op1_simhash,
         "op2_packing": op2_packing,
         "op3_secret_scan": op3_secret_scan,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_warc": op5_warc,
         "op6_token_files": op6_token_files,
         "op7_exact_dedup": op7_exact_dedup,
