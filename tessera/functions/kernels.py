@@ -28,36 +28,37 @@ def _arrow(ddl: str) -> pa.DataType:
     return to_arrow_type(_parse_datatype_string(ddl))
 
 
-def _each(arrays: tuple[pa.Array, ...], f: Callable, ddl: str) -> pa.Array:
+def _each(arrays: tuple[pa.Array, ...], f: Callable, kind: pa.DataType) -> pa.Array:
     rows = zip(*(a.to_pylist() for a in arrays), strict=True)
-    return pa.array([None if None in row else f(*row) for row in rows], _arrow(ddl))
+    return pa.array([None if None in row else f(*row) for row in rows], kind)
 
 
 def function(f: Callable, ddl: str, arguments: int) -> Callable:
     """An Arrow function of one to four columns that calls f for each row."""
+    kind = _arrow(ddl)  # on the driver: workers can't parse types
     if arguments == 1:
 
         @arrow_udf(ddl)
         def run(a: pa.Array) -> pa.Array:
-            return _each((a,), f, ddl)
+            return _each((a,), f, kind)
 
     elif arguments == 2:
 
         @arrow_udf(ddl)
         def run(a: pa.Array, b: pa.Array) -> pa.Array:
-            return _each((a, b), f, ddl)
+            return _each((a, b), f, kind)
 
     elif arguments == 3:
 
         @arrow_udf(ddl)
         def run(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-            return _each((a, b, c), f, ddl)
+            return _each((a, b, c), f, kind)
 
     else:
 
         @arrow_udf(ddl)
         def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-            return _each((a, b, c, d), f, ddl)
+            return _each((a, b, c, d), f, kind)
 
     return run
 
