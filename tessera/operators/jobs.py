@@ -9,6 +9,17 @@ from tessera.functions.kernels import functions
 from tessera.session import bounded_batches
 
 
+#: Bytes of rows that a task of the codecs takes on, and tasks per core at least.
+TASK_BYTES, TASKS_PER_CORE = 16 << 20, 4
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly over enough tasks for work that takes far longer than reading: by their size, and by cores."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(least, min(size // TASK_BYTES, 1_000_000)))
+
+
 def create(jobs: DataFrame, version: str = "PA30", options: str = "") -> DataFrame:
     """jobs with a `delta` from `reference` to `target`. options: words of md5, sha1, sha256, bsdiff, auto."""
     bounded_batches(jobs.sparkSession)
@@ -46,4 +57,4 @@ def with_neighbour(docs: DataFrame, key: str, value: str) -> DataFrame:
     """Pairs of related buffers out of one table: each row's value, and that of the row with the key before it (or none)."""
     own = docs.select(F.col(key), F.encode(F.coalesce(F.col(value), F.lit("")), "UTF-8").alias("target"))
     before = own.select((F.col(key) + 1).alias(key), F.col("target").alias("reference"))
-    return own.join(before, key, "left").select(key, F.coalesce("reference", F.lit(b"")).alias("reference"), "target")
+    return spread(own.join(before, key, "left").select(key, F.coalesce("reference", F.lit(b"")).alias("reference"), "target"))

@@ -38,6 +38,12 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", bytes_ops.utf8(F.coalesce("text", F.lit(""))).alias("content"))
 
 
+def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_texts(), dealt out for the codecs."""
+    bounded_batches(spark)
+    return jobs.spread(_texts(spark, sf_dir))
+
+
 _DOCS = "SELECT doc_id, coalesce(text, '') AS t FROM documents"
 _IDENTITY = f"SELECT doc_id, md5(t) AS digest, CAST(strlen(t) AS BIGINT) AS n_bytes FROM ({_DOCS})"
 
@@ -117,33 +123,29 @@ def q_delta_info(spark, sf_dir):
 
 @query("q_lzms_roundtrip", _IDENTITY)
 def q_lzms_roundtrip(spark, sf_dir):
-    bounded_batches(spark)
     f = functions()
-    packed = _texts(spark, sf_dir).withColumn("packed", f["lzms_compress"]("content"))
+    packed = _work(spark, sf_dir).withColumn("packed", f["lzms_compress"]("content"))
     return _digest(packed.withColumn("plain", f["lzms_decompress"]("packed", F.octet_length("content"))), "plain")
 
 
 @query("q_container_roundtrip", _IDENTITY)
 def q_container_roundtrip(spark, sf_dir):
-    bounded_batches(spark)
     f = functions()
-    packed = _texts(spark, sf_dir).withColumn("packed", f["container_write"]("content", F.lit(1 << 16)))
+    packed = _work(spark, sf_dir).withColumn("packed", f["container_write"]("content", F.lit(1 << 16)))
     return _digest(packed.withColumn("plain", f["container_read"]("packed")), "plain")
 
 
 @query("q_wim_roundtrip", _IDENTITY)
 def q_wim_roundtrip(spark, sf_dir):
-    bounded_batches(spark)
     f = functions()
-    packed = _texts(spark, sf_dir).withColumn("packed", f["wim_write"]("content", F.lit(1 << 12)))
+    packed = _work(spark, sf_dir).withColumn("packed", f["wim_write"]("content", F.lit(1 << 12)))
     return _digest(packed.withColumn("plain", f["wim_read"]("packed", F.lit(1 << 12), F.octet_length("content"))), "plain")
 
 
 @query("q_wim_solid_chunks", _IDENTITY)
 def q_wim_solid_chunks(spark, sf_dir):
     """Solid resources, unpacked chunk by chunk in parallel, and put together again."""
-    bounded_batches(spark)
-    texts = _texts(spark, sf_dir)
+    texts = _work(spark, sf_dir)
     resources = texts.select("doc_id", functions()["wim_solid_write"]("content", F.lit(1 << 12)).alias("resource"))
     rows = chunks.solid_chunks(resources, "doc_id", "resource")
     expand = _expander()
@@ -163,9 +165,8 @@ def _expander() -> Callable:
 )
 def q_wim_range(spark, sf_dir):
     """The middle third of each document out of its solid resource; only the chunks that it lies in are unpacked."""
-    bounded_batches(spark)
     f, n = functions(), F.octet_length("content")
-    rows = _texts(spark, sf_dir).filter(n > 0).withColumn("resource", f["wim_solid_write"]("content", F.lit(1 << 10)))
+    rows = _work(spark, sf_dir).filter(n > 0).withColumn("resource", f["wim_solid_write"]("content", F.lit(1 << 10)))
     part = f["wim_solid_range"]("resource", F.floor(n / 3).cast("int"), F.floor((n + 2) / 3).cast("int"))
     return rows.select("doc_id", F.sha2(part, 256).alias("digest"))
 
