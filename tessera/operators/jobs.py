@@ -13,9 +13,12 @@ from tessera.session import bounded_batches
 TASK_BYTES, TASKS_PER_CORE = 16 << 20, 4
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows dealt evenly over enough tasks for work that takes far longer than reading: by their size, and by cores."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def spread(rows: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """rows dealt evenly over enough tasks for work that takes far longer than reading: by the size of `like` (or rows), and by cores.
+
+    The estimated size of a join is that of a product, so joined rows are sized by what they were joined from.
+    """
+    size = int(str((rows if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(max(least, min(size // TASK_BYTES, 1_000_000)))
 
@@ -57,4 +60,4 @@ def with_neighbour(docs: DataFrame, key: str, value: str) -> DataFrame:
     """Pairs of related buffers out of one table: each row's value, and that of the row with the key before it (or none)."""
     own = docs.select(F.col(key), F.encode(F.coalesce(F.col(value), F.lit("")), "UTF-8").alias("target"))
     before = own.select((F.col(key) + 1).alias(key), F.col("target").alias("reference"))
-    return spread(own.join(before, key, "left").select(key, F.coalesce("reference", F.lit(b"")).alias("reference"), "target"))
+    return spread(own.join(before, key, "left").select(key, F.coalesce("reference", F.lit(b"")).alias("reference"), "target"), docs)
