@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch_rows, map_arrow, text_or_empty
-from tessera.llm.tokens import DEFAULT_VOCABULARY, byte_letters, vocabulary_path
+from tessera.llm.tokens import DEFAULT_VOCABULARY, Cache, byte_letters, vocabulary_path
 
 LIMIT = 512
-CAPACITY, PAIRS = 200_000, 600_000
+CAPACITY, PAIRS = 500_000, 600_000
 #: The vocabulary's white space leaves out the separators 1C to 1F, which Python's has.
 _WHITE, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 # The splitting of byte-level vocabularies.
@@ -38,8 +38,9 @@ WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{
 PIECES = regex.compile(rf"{_WHITE}*{_SOLID}+|{_WHITE}+")
 HEAD = regex.compile(rf"{_WHITE}*")
 #: Letters, then punctuation: two words of the splitting.
-SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*#$%&|]*)")
-SPACED = regex.compile(rf"{_WHITE} ")
+SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*#$%&|]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*#$%&|]*))?")
+#: White space before a space; the separators 1C to 1F make no difference here.
+SPACED = re.compile(r"\s ")
 STORE = "doc_id long, n_bytes long, n_tokens long, width int, changes binary"
 
 
@@ -51,7 +52,8 @@ class Vocabulary:
             kind = json.load(f)
         byte = {c: b for b, c in enumerate(byte_letters())}
         special = {t["content"] for t in kind["added_tokens"]}
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.strings = sorted(special, key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, self.strings)))
         self.ids = {bytes(byte[c] for c in t): i for t, i in kind["model"]["vocab"].items() if t not in special}
         self.bytes = {i: t for t, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
@@ -142,56 +144,43 @@ class PrefixCounter:
     """Changes of the count by code point, for whole texts."""
 
     def __init__(self, vocabulary: str = DEFAULT_VOCABULARY, capacity: int = CAPACITY):
-        self.vocabulary, self.capacity = Vocabulary(vocabulary), capacity
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.vocabulary = Vocabulary(vocabulary)
+        self.words = Cache(self._word, capacity)
+        self.pieces = Cache(lambda piece: self._piece(f" {piece}"), capacity)  # by what follows a space
 
     def _word(self, word: str) -> bytes:
         """Changes by each code point of one word of the splitting."""
-        if (found := self.words.get(word)) is None:
-            counts = self.vocabulary.counts(word.encode())
-            if not word.isascii():
-                counts = [0] + [counts[e] for e in np.cumsum([len(c.encode()) for c in word]).tolist()]
-            if word in ("'re", "'ve", "'ll"):  # "'r" is two words
-                counts[2] = 1 + _sum(self._word(word[1]))
-            found = _packed(counts)
-            if len(word) < 64:
-                if len(self.words) >= self.capacity:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        counts = self.vocabulary.counts(word.encode())
+        if not word.isascii():
+            counts = [0] + [counts[e] for e in np.cumsum([len(c.encode()) for c in word]).tolist()]
+        if word in ("'re", "'ve", "'ll"):  # "'r" is two words
+            counts[2] = 1 + _sum(self.words[word[1]])
+        return _packed(counts)
 
     def _segment(self, text: str) -> bytes:
         """Changes within white space and what follows it up to the next, as they are after a solid character."""
         blank = HEAD.match(text).end()
         if blank == len(text):
-            return self._word(text)
+            return self.words[text]
         if blank < 2:
-            head = b"" if text[:1] == " " or not blank else self._word(text[0])
-            return head + b"".join(map(self._word, WORDS.findall(text[1:] if head else text)))
+            head = b"" if text[:1] == " " or not blank else self.words[text[0]]
+            return head + b"".join(map(self.words.__getitem__, WORDS.findall(text[1:] if head else text)))
         # The white space is one word while nothing follows it; then its last character leaves it.
-        space, rest = self._word(text[:blank]), text[blank:]
+        space, rest = self.words[text[:blank]], text[blank:]
         if text[blank - 1] == " ":
-            base = _sum(self._word(text[: blank - 1]))
-            solid = b"".join(map(self._word, WORDS.findall(" " + rest)))
+            base = _sum(self.words[text[: blank - 1]])
+            solid = b"".join(map(self.words.__getitem__, WORDS.findall(" " + rest)))
             first = base + _sum(solid[:2]) - _sum(space)
             return space + _packed([0, first]) + solid[2:]
-        base = _sum(self._word(text[: blank - 1])) + _sum(self._word(text[blank - 1]))
-        solid = b"".join(map(self._word, WORDS.findall(rest)))
+        base = _sum(self.words[text[: blank - 1]]) + _sum(self.words[text[blank - 1]])
+        solid = b"".join(map(self.words.__getitem__, WORDS.findall(rest)))
         return space + _packed([0, base + _sum(solid[:1]) - _sum(space)]) + solid[1:]
 
     def _piece(self, piece: str) -> bytes:
         """Changes by each code point of an ordinary text that starts where no token crosses."""
-        if (found := self.pieces.get(piece)) is None:
-            if m := SIMPLE.fullmatch(piece):
-                found = self._word(m[1]) + self._word(m[2]) if m[2] else self._word(m[1])
-            else:
-                found = b"".join(map(self._segment, PIECES.findall(piece)))
-            if len(piece) < 64:
-                if len(self.pieces) >= self.capacity:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
+        if m := SIMPLE.fullmatch(piece):
+            return b"".join([self.words[g] for g in m.groups() if g])
+        return b"".join(map(self._segment, PIECES.findall(piece)))
 
     def _wide(self, text: str) -> np.ndarray:
         """As integers, for texts where a change does not fit a byte: the counts of each word, one by one."""
@@ -223,19 +212,17 @@ class PrefixCounter:
             return np.zeros(0, np.int8)
         try:
             if SPACED.search(text):
-                return np.frombuffer(b"".join(map(self._piece, PIECES.findall(text))), np.int8)
+                return np.frombuffer(b"".join(map(self._segment, PIECES.findall(text))), np.int8)
             first, *rest = text.split(" ")
-            found = [self._piece(first)] if first else []
-            found += map(self._piece, [f" {x}" for x in rest])
-            return np.frombuffer(b"".join(found), np.int8)
+            return np.frombuffer((self._piece(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest)), np.int8)
         except OverflowError:
             return self._wide(text)
 
     def changes(self, text: str) -> np.ndarray:
         """How the count changes by each code point; special tokens' strings count one when whole."""
-        special = self.vocabulary.special
-        if special is None or not special.search(text):
+        if not any(s in text for s in self.vocabulary.strings):
             return self._ordinary(text)
+        special = self.vocabulary.special
         counts, base, at = [], 0, 0
         for m in special.finditer(text):
             part = np.cumsum(self._ordinary(text[at : m.start()]), dtype=np.int64) + base

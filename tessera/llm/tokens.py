@@ -12,13 +12,28 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: White space that takes in a space on either side of which the split depends on the neighbours.
 LINKED = re.compile(r"\s (?:\s|\Z)")
-#: Letters, then punctuation: two words of the library's own splitting, taken straight to its BPE model.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*#$%&|]*)")
-CAPACITY = 300_000
+#: Letters, then punctuation, on one line or two: words of the library's own splitting, taken straight to its BPE model.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*#$%&|]*)(?:\n([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*#$%&|]*))?")
+CAPACITY = 250_000
+
+
+class Cache(dict):
+    """Values of a function by its argument; emptied when it is full."""
+
+    def __init__(self, make: Callable[[str], bytes], capacity: int):
+        super().__init__()
+        self.make, self.capacity = make, capacity
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.capacity:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -51,51 +66,47 @@ class PieceEncoder:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in kind["added_tokens"]) or r"(?!)")
         self.has_special = bool(kind["added_tokens"])
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.capacity = capacity
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Cache(self._word, capacity)
+        self.pieces = Cache(lambda piece: self._piece(piece, " "), capacity)
+
+    def forget(self) -> None:
+        """Give the caches' memory back, at the end of a task: the next one sees other texts, and the worker may wait for long."""
+        self.words.clear()
+        self.pieces.clear()
 
     def _library(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         """Ids of one word of the library's splitting."""
-        if (ids := self.words.get(word)) is None:
-            if len(self.words) >= self.capacity:
-                self.words.clear()
-            written = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = array(self.code, [t.id for t in self.library.model.tokenize(written)]).tobytes()
-        return ids
+        written = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.library.model.tokenize(written)]).tobytes()
 
     def _piece(self, piece: str, lead: str) -> bytes:
-        if m := SIMPLE.fullmatch(piece):
-            return self._word(lead + m[1]) + (self._word(m[2]) if m[2] else b"")
-        return self._library(lead + piece)
+        if not (m := SIMPLE.fullmatch(piece)):
+            return self._library(lead + piece)
+        ids = self.words[lead + m[1]]
+        if m[2]:
+            ids += self.words[m[2]]
+        if m[3]:
+            ids += self.words["\n"] + self.words[m[3]]
+            if m[4]:
+                ids += self.words[m[4]]
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text, without any added at its ends."""
         if not self.by_piece or LINKED.search(text) or self.has_special and self.special.search(text):
             return self._library(text)
-        pieces = text.split(" ")
-        first = pieces[0]
-        rest = pieces[1:]
-        ids = list(map(self.pieces.get, rest))
-        if None in ids:
-            if len(self.pieces) >= self.capacity:
-                self.pieces.clear()
-            for i, x in enumerate(ids):
-                if x is None:
-                    if (x := self.pieces.get(rest[i])) is None:
-                        x = self.pieces[rest[i]] = self._piece(rest[i], " ")
-                    ids[i] = x
-        return (self._piece(first, "") if first else b"") + b"".join(ids)
+        first, *rest = text.split(" ")
+        return (self._piece(first, "") if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def encoder(vocabulary: str = DEFAULT_VOCABULARY) -> PieceEncoder:
-    """The worker process's encoder, whose cache outlives tasks."""
+    """The worker process's encoder; loading it takes longer than a small task."""
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = PieceEncoder(vocabulary)
     return _ENCODERS[vocabulary]
