@@ -68,6 +68,7 @@ def tokenised(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, end_id: int
                 before[q] = at[-1] + k
             columns = [batch.column(0), batch.column(1), pa.array([part] * len(n), pa.int32()), pa.array(at), pa.array(n), pa.array([width] * len(n), pa.int32()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+        encode.forget()
 
     return store(rows.mapInArrow(run, TOKENS), "pack-tokens", scope)
 

@@ -194,6 +194,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = DEFAULT_VOCABUL
                 if shard.bytes >= SHARD_BYTES or len(shard.ids) >= SHARD_DOCS:
                     done.append((part, len(done), name, *shard.close()))
                     shard = None
+        encode.forget()
         if shard is not None:
             done.append((part, len(done), name, *shard.close()))
         if done:
