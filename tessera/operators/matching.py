@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ordered import numbered
+from tessera.operators.ordered import neighbour, numbered
 
 #: Tables of so many rows at most are sent to all executors by lookups.
 BROADCAST_ROWS = 100_000
@@ -38,10 +38,9 @@ def first_match(source: DataFrame, target: DataFrame, names: list[str], order: s
 
 def list_ranges(owners: DataFrame, rid: str, start: str, children: Column) -> DataFrame:
     """owners with `first` and `stop` of their lists: up to where the next owner's begins, or one past all children."""
-    following = F.lead(start).over(Window.orderBy(rid))
-    end = children + 1
+    following, end = F.col("_following"), children + 1
     stop = F.when(following.isNull() | (following == 0) | (following > end), end).otherwise(following)
-    return owners.select("*", F.col(start).alias("first"), stop.alias("stop"))
+    return neighbour(owners, [], rid, start, "_following").select(*owners.columns, F.col(start).alias("first"), stop.alias("stop"))
 
 
 def containing(probes: DataFrame, ranges: DataFrame, at: str, low: str, high: str, order: str) -> DataFrame:

@@ -53,3 +53,16 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str = "k", width:
     inside = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order)))
     joined = inside.join(counts, _same(inside, counts, [*keys, "_bucket"], "_c"))
     return joined.select(*own, (F.col("_before") + F.col("_k")).alias(name))
+
+
+def neighbour(df: DataFrame, keys: list[str], order: str, value: str, name: str, after: bool = True, width: int = WIDTH) -> DataFrame:
+    """df with `value` of the row after (or before) each among those of its keys; null at the end. Positions of a key differ."""
+    own = df.columns
+    step, edge = (F.lead, F.min_by) if after else (F.lag, F.max_by)
+    rows = df.withColumn("_bucket", _bucket(F.col(order), width)).withColumn("_held", F.struct(F.col(value).alias("v")))
+    inside = rows.withColumn("_near", step("_held").over(Window.partitionBy(*keys, "_bucket").orderBy(order)))
+    edges = rows.groupBy(*keys, "_bucket").agg(edge("_held", order).alias("_edge"))
+    far = step("_edge").over(Window.partitionBy(*keys).orderBy("_bucket"))
+    edges = edges.select(*(F.col(k).alias("_c" + k) for k in keys), F.col("_bucket").alias("_c_bucket"), far.alias("_far"))
+    joined = inside.join(edges, _same(inside, edges, [*keys, "_bucket"], "_c"))
+    return joined.select(*own, F.coalesce("_near", "_far")["v"].alias(name))

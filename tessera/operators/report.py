@@ -66,11 +66,11 @@ def shrink_candidates(inputs: DataFrame, key: str, data: str) -> DataFrame:
         else:
             low = F.floor((n - size) / 2).cast("int")
             candidate = F.concat(F.substring(data, F.lit(1), low), F.substring(data, low + size + 1, n))
-        made.append(F.struct(F.lit(k).alias("k"), F.lit(f"{kind}_{a}_{b}").alias("label"), candidate.alias("candidate")))
+        made.append(F.struct(F.lit(k).alias("_rank"), F.lit(f"{kind}_{a}_{b}").alias("label"), candidate.alias("candidate")))
     rows = inputs.filter(n > LEAST_LENGTH).select(key, n.alias("_n"), F.explode(F.array(*made)).alias("c"))
     rows = rows.select(key, "_n", "c.*").withColumn("length", F.octet_length("candidate"))
     rows = rows.filter((F.col("length") >= LEAST_LENGTH) & (F.col("length") < F.col("_n")))
-    best = rows.groupBy(key, "length").agg(F.min_by(F.struct("label", "candidate"), "k").alias("c"))
+    best = rows.groupBy(key, "length").agg(F.min_by(F.struct("label", "candidate"), "_rank").alias("c"))
     return best.select(key, "c.label", "length", "c.candidate")
 
 

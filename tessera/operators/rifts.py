@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.kernels import rift
-from tessera.operators.ordered import WIDTH, as_of
+from tessera.operators.ordered import WIDTH, as_of, neighbour
 
 
 def offsets(entries: DataFrame) -> DataFrame:
@@ -39,8 +39,7 @@ def lookup(probes: DataFrame, entries: DataFrame, keys: list[str], at: str, rule
 
 def collapsed(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Without entries that repeat the offset of the one before."""
-    w = Window.partitionBy(*keys).orderBy("source")
-    rows = offsets(entries).withColumn("_before", F.lag("offset").over(w))
+    rows = neighbour(offsets(entries), keys, "source", "offset", "_before", after=False)
     return rows.filter(F.col("_before").isNull() | (F.col("_before") != F.col("offset"))).drop("_before", "offset")
 
 
@@ -51,8 +50,7 @@ def total(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     found = lookup(found, b, keys, "source", "wrapping").withColumnRenamed("offset", "_b")
     both = a.select(*keys).distinct().join(b.select(*keys).distinct(), keys).withColumn("_both", F.lit(True))
     found = found.join(both, keys, "left").withColumn("offset", F.col("_a") + F.col("_b"))
-    before = F.lag("offset").over(Window.partitionBy(*keys).orderBy("source"))
-    kept = found.withColumn("_before", before).filter(F.col("_both").isNull() | F.col("_before").isNull() | (F.col("_before") != F.col("offset")))
+    kept = neighbour(found, keys, "source", "offset", "_before", after=False).filter(F.col("_both").isNull() | F.col("_before").isNull() | (F.col("_before") != F.col("offset")))
     return kept.select(*keys, "source", (F.col("source") + F.col("offset")).alias("target"))
 
 
@@ -61,8 +59,7 @@ def compose(first: DataFrame, then: DataFrame, keys: list[str]) -> DataFrame:
 
     Below that the map wraps around the 64-bit range, which compose() of the kernels does.
     """
-    w = Window.partitionBy(*keys).orderBy("source")
-    pieces = offsets(first).withColumn("_end", F.lead("source").over(w))
+    pieces = neighbour(offsets(first), keys, "source", "source", "_end")
     inner = then.select(*keys, F.col("source").alias("_break"))
     inside = (F.col("_break") - F.col("offset") > F.col("source")) & (F.col("_end").isNull() | (F.col("_break") - F.col("offset") < F.col("_end")))
     cuts = pieces.join(inner, keys).filter(inside).select(*keys, (F.col("_break") - F.col("offset")).alias("source"), "offset")

@@ -15,6 +15,7 @@ def get_spark(app: str = "tessera", **config: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
     }
     for key, value in (settings | config).items():

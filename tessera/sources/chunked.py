@@ -1,5 +1,6 @@
 """A data source for solid chunked resources: a partition per chunk, and only the chunks of the asked range are read.
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     spark.dataSource.register(SolidSource)
     spark.read.format("solid").option("path", file).load().filter("offset >= 1000 and offset < 5000")
 

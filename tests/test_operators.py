@@ -39,7 +39,7 @@ def test_sum_composition_collapse_and_reduction_as_the_kernels_have_them(spark):
     got = [tuple(r) for r in rifts.total(fa, fb, ["k"]).collect()]
     same_rows(got, [(k, s, t) for k in a for s, t in rift.total(a[k], b.get(k, []))])
     got = [tuple(r) for r in rifts.compose(fa, fb, ["k"]).filter("k > 0").collect()]
-    same_rows(got, [(k, s, t) for k in b for s, t in rift.compose(a[k], b[k]) if s >= a[k][0][0]])
+    same_rows(got, [(k, s, t) for k in b for s, t in rift.compose(a[k], b[k]) if a[k][0][0] <= s < 1 << 62])
     votes = [(1, s, i, t) for i, (s, t) in enumerate([(1, 5), (1, 5), (1, 7), (2, 6), (3, 9), (3, None)])]
     got = rifts.reduced(spark.createDataFrame(votes, "k int, source long, ord int, target long"), ["k"], True).collect()
     same_rows([tuple(r)[1:] for r in got], rift.reduced([(s, rift.UNSET if t is None else t) for _, s, _, t in votes], True))
@@ -61,6 +61,14 @@ def test_as_of_and_numbering_with_nulls_and_ties(spark):
     same_rows([tuple(r) for r in ordered.numbered(rows, ["k"], "p", width=4).collect()], [(1, 3, 1), (1, 4, 2), (1, 9, 3), (1, 30, 4), (None, 2, 1)])
 
 
+def test_neighbours_across_buckets(spark):
+    rows = spark.createDataFrame([(1, p, p * 10 if p != 9 else None) for p in (3, 9, 4, 30)] + [(None, 2, 5)], "k int, p long, v long")
+    after = [tuple(r) for r in ordered.neighbour(rows, ["k"], "p", "v", "x", width=4).collect()]
+    same_rows(after, [(1, 3, 30, 40), (1, 4, 40, None), (1, 9, None, 300), (1, 30, 300, None), (None, 2, 5, None)])
+    before = [tuple(r) for r in ordered.neighbour(rows, ["k"], "p", "v", "x", False, 4).collect()]
+    same_rows(before, [(1, 3, 30, None), (1, 4, 40, 30), (1, 9, None, 40), (1, 30, 300, None), (None, 2, 5, None)])
+
+
 def test_matching(spark):
     source = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), ("a", 9)], "n string, r long")
     target = spark.createDataFrame([("b", 10), ("a", 11), ("a", 12), (None, 13)], "n string, r long")
@@ -126,6 +134,7 @@ def test_chunks_and_the_solid_source(spark, tmp_path):
     assert packed.count() == 11 and packed.agg(F.sum("plain")).first()[0] == len(data)
     path = tmp_path / "a.solid"
     path.write_bytes(containers.write_solid(data, 1000))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     spark.dataSource.register(SolidSource)
     read = spark.read.format("solid").option("path", str(path)).load()
     assert b"".join(bytes(r.plain) for r in read.orderBy("offset").collect()) == data
