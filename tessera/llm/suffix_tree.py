@@ -38,8 +38,8 @@ FOLDS, HELD_OUT = 5, 1
 #: Classes at most, their share of all words, the longest ending in bytes.
 CLASSES, SHARE, ENDING = 250, 1 / 400, 4
 #: Length of contexts in classes; share of all symbols that a context must have; nats that it must gain.
-DEPTH, LEAST, GAIN = 4, 5e-5, 30.0
-SEGMENT_TOKENS, SEGMENT_WORDS = 2_000_000, 400_000
+DEPTH, LEAST, GAIN = 4, 1e-4, 30.0
+SEGMENT_TOKENS, SEGMENT_WORDS = 1_000_000, 250_000
 END, BEGIN, OTHER = 0, 1, 2  # symbols; endings follow
 SEGMENT = "segment long, docs binary, nulls binary, folds binary, lengths binary, ids binary, words binary, c binary, c_last binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -104,19 +104,20 @@ def _segments(docs: DataFrame, scope: str) -> DataFrame:
 
 
 def _entries(segments: DataFrame) -> DataFrame:
-    """(segment, number, word, c, c_last) for every word of every segment."""
-    batch_rows(segments.sparkSession, 1)
+    """(segment, number, word, c, c_last) for every word of every segment; made again where it is used, which is cheaper than keeping it."""
+    schema = "segment long, number int, word binary, c long, c_last long"
+    fields = _arrow_schema(segments.sparkSession, schema)
 
-    def make():
-        def step(batch: pa.RecordBatch) -> dict[str, object]:
-            words = batch.column(1)[0].as_py().split()
-            c, c_last = (np.frombuffer(batch.column(k)[0].as_buffer(), np.int64) for k in (2, 3))
-            segment = np.full(len(words), batch.column(0)[0].as_py())
-            return {"segment": segment, "number": np.arange(len(words), dtype=np.int32), "word": words, "c": c, "c_last": c_last}
-
-        return step
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = batch.column(1)[k].as_py().split()
+                c, c_last = (np.frombuffer(batch.column(j)[k].as_buffer(), np.int64) for j in (2, 3))
+                columns = [np.full(len(words), batch.column(0)[k].as_py()), np.arange(len(words), dtype=np.int32), words, c, c_last]
+                if words:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
 
-    return map_arrow(segments.select("segment", "words", "c", "c_last"), "segment long, number int, word binary, c long, c_last long", make)
+    return segments.select("segment", "words", "c", "c_last").mapInArrow(run, schema)
 
 
 # --- Classes ------------------------------------------------------------------------------------------------
@@ -209,12 +210,12 @@ def _sequences(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
     return data, place
 
 
-def _level_counts(segments: DataFrame, classes: Classes, length: int, frequent: np.ndarray) -> DataFrame:
-    """(key, n): how often each symbol follows each context of a length whose suffix is frequent; key: context, then symbol."""
+def _level_counts(segments: DataFrame, classes: Classes, length: int, frequent: np.ndarray | None) -> DataFrame:
+    """(key, n): how often each symbol follows each frequent context of a length (None: each context); key: context, then symbol."""
     state = segments.sparkSession.sparkContext.broadcast((classes, frequent))  # at most 1 / LEAST contexts
 
     def make():
-        own, suffixes = state.value
+        own, contexts = state.value
 
         def step(batch: pa.RecordBatch) -> dict[str, object]:
             words = batch.column(0)[0].as_py().split()
@@ -224,9 +225,9 @@ def _level_counts(segments: DataFrame, classes: Classes, length: int, frequent:
             ids = ids[np.repeat(trained, lengths)]
             data, place = _sequences(own.of(words)[ids], lengths[trained])
             context = _packed(data, length)
-            use = place >= max(1, length)
-            if length > 1:
-                use &= _member(suffixes, context & _mask(length - 1)) >= 0
+            use = place >= length
+            if contexts is not None:
+                use &= _member(contexts, context) >= 0
             keys, n = np.unique((context[use] << np.uint64(8)) | data[use].astype(np.uint64), return_counts=True)
             return {"key": keys.view(np.int64), "n": n}
 
@@ -272,30 +273,27 @@ def learn(segments: DataFrame, classes: Classes, shares: np.ndarray, depth: int
     probabilities = {(0, 0): shares}
     kept: list[dict[int, int]] = []
     table = [shares]
-    frequent, total = np.zeros(0, np.uint64), None
+    frequent, enough = None, 0.0
     for length in range(1, depth + 1):
-        counts = _level_counts(segments, classes, length, frequent)
-        totals = counts.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("total"))
-        if total is None:
-            totals = totals.toPandas()  # at most one row a class
-            total = int(totals["total"].sum())
-            often = segments.sparkSession.createDataFrame([(int(c),) for c, n in zip(totals["context"], totals["total"], strict=True) if n >= max(2, least * total)] or [(-1,)], "context long")
-        else:
-            often = totals.filter(F.col("total") >= max(2.0, least * total)).select("context")  # at most 1 / least rows
-        rows = counts.withColumn("context", F.shiftrightunsigned("key", 8)).join(F.broadcast(often), "context", "left_semi").select("key", "n")
-        contexts, seen = _distributions(rows.toPandas())
-        level = {}
+        # At most 1 / least contexts, each with as many rows as there are classes.
+        contexts, seen = _distributions(_level_counts(segments, classes, length, frequent).toPandas())
+        enough = enough or max(2.0, least * seen.sum())
+        level, longer = {}, []
         for context, n in zip(contexts.tolist(), seen, strict=True):
-            parent = probabilities[length - 1, context & int(_mask(length - 1))]
             size, kinds = n.sum(), (n > 0).sum()
+            if size < enough:
+                continue
+            parent = probabilities[length - 1, context & int(_mask(length - 1))]
             own = probabilities[length, context] = (n + kinds * parent) / (size + kinds)
             used = own > 0
             if size * (own[used] * np.log(own[used] / parent[used])).sum() >= gain:
                 level[context] = len(table)
                 table.append(own)
+            # A context and the symbol after it are a context themselves, as often, unless the text ends there.
+            longer += [context << 8 | symbol for symbol in np.flatnonzero(n >= enough).tolist() if symbol != END]
         kept.append(level)
-        frequent = contexts
-        if not len(contexts):
+        frequent = np.array(sorted(longer), np.uint64)
+        if not longer:
             break
     contexts = [np.array(sorted(x), np.uint64) for x in kept]
     states = [np.array([x[c] for c in sorted(x)], np.int64) for x in kept]
@@ -361,7 +359,8 @@ def score_texts(docs: DataFrame, scope: str = "op") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs."""
     spark = docs.sparkSession
     segments = _segments(docs, scope)
-    entries = store(_entries(segments), "lm-entries", scope)
+    entries = _entries(segments)
+    batch_rows(spark, 1)
     words = store(entries.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_last").alias("c_last")), "lm-words", scope)
     ends = docs.select(fold(F.col("doc_id")).alias("fold")).filter(F.col("fold") != HELD_OUT).count()
     known = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
@@ -381,6 +380,7 @@ def score_texts(docs: DataFrame, scope: str = "op") -> DataFrame:
         return model.value.rows(segment | {"words": segment["words"].to_pybytes()}, c, fields)
 
     counted = entries.select(F.col("segment").alias("of"), "number", "word").join(words.select("word", "c"), "word").select("of", "number", "c")
+    batch_rows(spark, 50_000)  # of words; a segment is one row of its own group
     texts = segments.select("segment", "docs", "nulls", "folds", "lengths", "ids", "words")
     return texts.groupBy("segment").cogroup(counted.groupBy("of")).applyInArrow(add_up, OUT)
 
