@@ -18,8 +18,9 @@ meet to one of them gives the same components, with at most 65 in one place.
 near_duplicates() finds documents by similarity of their shingle sets instead. At a Jaccard similarity of 0.8, 64-bit
 fingerprints differ in ten bits on average, too many for a search within two. So documents meet by the least hash
 in each of eight classes of shingle hashes (missed with probability 0.2 ** 8 at 0.8), buckets of many documents are
-split by Golay indices of the fingerprint's segments, fingerprints that differ in over MAX_BITS bits are passed over, and what
-is left is verified by sketches of the least 256 hashes: exact up to 256 shingles, else with a deviation of 0.025.
+split by Golay indices of the fingerprint's segments, fingerprints that differ in over MAX_BITS bits are passed over, and so are
+pairs whose sketches of the least 256 hashes are MARGIN (six deviations) below the similarity. What is left is verified on the
+whole shingle sets, exactly.
 
 Words are runs of characters other than space and 09-0D, lower-cased in A-Z. A text of fewer words than a shingle
 has one shingle, the whole sequence; one without words (or null) has the fingerprint zero. A null doc_id is
@@ -51,6 +52,10 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: near_duplicates(): classes of shingle hashes, hashes in a sketch, bits that fingerprints may differ in.
 CLASSES, SKETCH, MAX_BITS, SIMILARITY = 8, 256, 20, 0.8
+#: What a sketch may be below the similarity; six deviations at 0.8.
+MARGIN = 0.15
+#: Up to so many hashes of texts to be verified are sent to all executors (8 bytes each); more are joined by a shuffle.
+BROADCAST_NEEDED = 300_000
 
 
 # --- Golay code ---------------------------------------------------------------------------------------------
@@ -214,14 +219,51 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 # --- Similarity of shingle sets -----------------------------------------------------------------------------
 
 
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity from the least hashes of two sets, sorted; a sketch of fewer than SKETCH has all of its set."""
-    least = min((int(x[-1]) for x in (a, b) if len(x) >= SKETCH), default=1 << 40)
-    a, b = a[: np.searchsorted(a, least, "right")], b[: np.searchsorted(b, least, "right")]
+def set_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two whole sets without repeats."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
 
 
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity from the least hashes of two sets, sorted; a sketch of fewer than SKETCH has all of its set."""
+    least = min((x[-1] for x in (a, b) if len(x) >= SKETCH), default=None)
+    if least is not None:
+        a, b = a[: np.searchsorted(a, least, "right")], b[: np.searchsorted(b, least, "right")]
+    return set_similarity(a, b)
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two whole sets, sorted, have the similarity; sizes and sketches only pass over what cannot have it."""
+    least, most = sorted((len(a), len(b)))
+    if least / max(1, most) < similarity:
+        return False
+    if most > SKETCH and sketch_similarity(a[:SKETCH], b[:SKETCH]) < similarity - MARGIN:
+        return False
+    return set_similarity(a, b) >= similarity
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted; a text without words has the hash zero."""
+    rows = shingle_hashes(text, width)
+    return np.unique(rows.view(">u8").ravel().astype(np.uint64)) if len(rows) else np.zeros(1, np.uint64)
+
+
+def _sets(docs: DataFrame, needed: DataFrame, width: int, scope: str) -> DataFrame:
+    """(text_hash, hashes) with the shingle_set() of each text in needed(text_hash), stored."""
+    needed = store(needed.distinct(), "needed", scope)
+    if needed.count() <= BROADCAST_NEEDED:
+        needed = F.broadcast(needed)
+    texts = docs.select(F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).join(needed, "text_hash")
+    texts = texts.select("text_hash", "text").dropDuplicates(["text_hash"])
+
+    def make():
+        return lambda batch: {"text_hash": batch.column(0), "hashes": [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]}
+
+    batch_rows(docs.sparkSession, 512)
+    return store(map_arrow(texts, "text_hash long, hashes binary", make), "sets", scope)
+
+
 def _sketches(docs: DataFrame, width: int, scope: str) -> DataFrame:
     """id, doc_id, text_hash, fp, classes (least hash of each) and sketch, stored. id tells rows apart."""
 
@@ -231,9 +273,8 @@ def _sketches(docs: DataFrame, width: int, scope: str) -> DataFrame:
         def step(batch: pa.RecordBatch) -> dict[str, object]:
             prints, classes, sketches = [], [], []
             for text in batch.column(1).to_pylist():
-                rows = shingle_hashes(text, width)
-                prints.append(fingerprint(rows))
-                hashes = np.unique(rows.view(">u8").ravel().astype(np.uint64)) if len(rows) else np.zeros(1, np.uint64)
+                hashes = shingle_set(text, width)
+                prints.append(fingerprint(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)))  # of the set, whatever repeats
                 kind = (hashes & np.uint64(CLASSES - 1)).astype(np.int64)
                 present, first = np.unique(kind, return_index=True)  # hashes are sorted, so the first is the least
                 classes.append([int(h) for h in ((hashes[first] & ~np.uint64(CLASSES - 1)) | present.astype(np.uint64)).view(np.int64)])
@@ -266,22 +307,22 @@ def _index_rows(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("key", "id", "fp"), "key long, id long, fp long", make)
 
 
-def _block_links(large: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+def _block_links(large: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Verified links of large buckets: blocks of their rows meet two by two, and each pair of blocks gives a forest of links."""
     sizes = large.groupBy("key").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("blocks"))
     placed = large.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = placed.select("key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id")
-    met = met.join(sketches.select("id", "fp", "sketch"), "id").select("key", "x", "y", "id", "fp", "sketch")
+    met = met.join(sketches.select("id", "fp", "text_hash"), "id").join(sets, "text_hash").select("key", "x", "y", "id", "fp", "hashes")
 
     def forest(table: pa.Table) -> pa.Table:
         ids, prints = table["id"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
-        own = [np.frombuffer(s, "<u4") for s in table["sketch"].to_pylist()]
+        own = [np.frombuffer(s, np.uint64) for s in table["hashes"].to_pylist()]
         root, links = np.arange(len(ids)), []
         for i in range(len(ids) - 1):
             near = np.flatnonzero((np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= MAX_BITS) & (root[i + 1 :] != root[i])) + i + 1
             for j in near.tolist():
-                if root[i] != root[j] and sketch_similarity(own[i], own[j]) >= similarity:
+                if root[i] != root[j] and similar(own[i], own[j], similarity):
                     links.append((ids[i], ids[j]))
                     root[root == root[j]] = root[i]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
@@ -289,6 +330,37 @@ def _block_links(large: DataFrame, sketches: DataFrame, similarity: float) -> Da
     return met.groupBy("key", "x", "y").applyInArrow(forest, "a long, b long")
 
 
+def _close_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, text_a, text_b) for the pairs (a, b) whose sketches are not clearly distant."""
+    left, right = (sketches.select(F.col("id").alias(n), F.col("text_hash").alias(f"text_{n}"), F.col("sketch").alias(f"s{n}")) for n in "ab")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sa, sb = ([np.frombuffer(x, "<u4") for x in batch.column(k).to_pylist()] for k in (4, 5))
+            ok = pa.array([sketch_similarity(x, y) >= similarity - MARGIN for x, y in zip(sa, sb, strict=True)])
+            return batch.select(["a", "b", "text_a", "text_b"]).filter(ok)
+
+        return step
+
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b", "sa", "sb")
+    return map_arrow(found, "a long, b long, text_a long, text_b long", make)
+
+
+def _verified(close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) of close pairs, by their whole sets."""
+    left, right = (sets.select(F.col("text_hash").alias(f"text_{n}"), F.col("hashes").alias(f"h{n}")) for n in "ab")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict[str, object]:
+            ha, hb = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
+            ok = pa.array([similar(x, y, similarity) for x, y in zip(ha, hb, strict=True)])
+            return {"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)}
+
+        return step
+
+    return map_arrow(close.join(left, "text_a").join(right, "text_b").select("a", "b", "ha", "hb"), "a long, b long", make)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, scope: str = "op") -> DataFrame:
     """doc_id, text_hash (XXH64 of the text), component_id (the group's smallest doc_id) and kept for every row of docs."""
     sketches = _sketches(docs, width, scope)
@@ -297,20 +369,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     large = store(large, "large", scope)
     fine, dense = bucket_pairs(_index_rows(large), MAX_BITS, SMALL, scope)
     dense = store(dense, "dense", scope)
-    pairs = pairs.union(fine).distinct()
-    left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-
-    def make():
-        def step(batch: pa.RecordBatch) -> dict[str, object]:
-            sa, sb = ([np.frombuffer(x, "<u4") for x in batch.column(k).to_pylist()] for k in (2, 3))
-            ok = pa.array([sketch_similarity(x, y) >= similarity for x, y in zip(sa, sb, strict=True)])
-            return {"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)}
-
-        return step
-
-    checked = map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), "a long, b long", make)
-    roots = components(checked.union(_block_links(dense, sketches, similarity)), scope)
+    close = store(_close_pairs(pairs.union(fine).distinct(), sketches, similarity), "close", scope)
+    dense_texts = sketches.join(dense.select("id").distinct(), "id", "left_semi").select("text_hash")
+    sets = _sets(docs, close.select(F.col("text_a").alias("text_hash")).union(close.select("text_b")).union(dense_texts), width, scope)
+    roots = components(_verified(close, sets, similarity).union(_block_links(dense, sketches, sets, similarity)), scope)
     named = sketches.select("id", "doc_id", "text_hash").join(roots, F.col("id") == F.col("node"), "left")
     named = named.select("id", "doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
