@@ -17,10 +17,12 @@ meet to one of them gives the same components, with at most 65 in one place.
 
 near_duplicates() finds documents by similarity of their shingle sets instead. At a Jaccard similarity of 0.8, 64-bit
 fingerprints differ in ten bits on average, too many for a search within two. So documents meet by the least hash
-in each of eight classes of shingle hashes (missed with probability 0.2 ** 8 at 0.8), buckets of many documents are
-split by Golay indices of the fingerprint's segments, fingerprints that differ in over MAX_BITS bits are passed over, and so are
-pairs whose sketches of the least 256 hashes are MARGIN (six deviations) below the similarity. What is left is verified on the
-whole shingle sets, exactly.
+in each of eight classes of shingle hashes (missed with probability 0.2 ** 8 at 0.8). In a bucket of up to SMALL, fingerprints
+that differ in over MAX_BITS bits are passed over, and so are pairs whose sketches of the least 256 hashes are MARGIN (six
+deviations) below the similarity. In a larger one all rows are compared, block by block, and only pairs whose signatures are
+six deviations below are passed over. A bucket of over REFINE rows is split by further least hashes, in sixteen classes by
+another order (missed with probability 0.2 ** 16), unless its parts together would be no less work than the whole, as with
+near copies of one text. What is left is verified on the whole shingle sets, exactly.
 
 Words are runs of characters other than space and 09-0D, lower-cased in A-Z. A text of fewer words than a shingle
 has one shingle, the whole sequence; one without words (or null) has the fingerprint zero. A null doc_id is
@@ -51,7 +53,9 @@ BLOCK = 1 << 15
 GENERATOR = 0b110001110101
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: near_duplicates(): classes of shingle hashes, hashes in a sketch, bits that fingerprints may differ in.
-CLASSES, SKETCH, MAX_BITS, SIMILARITY = 8, 256, 20, 0.8
+CLASSES, SKETCH, MAX_BITS, SIMILARITY = 8, 256, 24, 0.8
+#: Classes of further hashes, rows of a bucket from which they are used, rows and bytes of sets in a block, hashes in a signature.
+FURTHER, REFINE, BLOCK_ROWS, BLOCK_BYTES, SIGNATURE = 16, 8192, 2048, 32 << 20, 128
 #: What a sketch may be below the similarity; six deviations at 0.8.
 MARGIN = 0.15
 #: Up to so many hashes of texts to be verified are sent to all executors (8 bytes each); more are joined by a shuffle.
@@ -109,17 +113,6 @@ def search_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def index_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment and codeword index, position of its fingerprint)."""
-    keys, owners = [], []
-    for k, part in enumerate(segments(prints)):
-        indices = codeword_indices(part)
-        row, column = np.nonzero(indices >= 0)
-        keys.append((k << 12) | indices[row, column])
-        owners.append(row)
-    return np.concatenate(keys), np.concatenate(owners)
-
-
 # --- Fingerprints -------------------------------------------------------------------------------------------
 
 
@@ -264,70 +257,113 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, scope: str) -> DataFra
     return store(map_arrow(texts, "text_hash long, hashes binary", make), "sets", scope)
 
 
+SKETCHES = "id long, doc_id long, text_hash long, fp long, n long, classes array<long>, further array<long>, sketch binary"
+
+
+def least_of_classes(hashes: np.ndarray, classes: int) -> list[int]:
+    """The least of the sorted hashes in each class that has one, with the class in its low bits."""
+    kind = (hashes & np.uint64(classes - 1)).astype(np.int64)
+    present, first = np.unique(kind, return_index=True)  # hashes are sorted, so the first is the least
+    return ((hashes[first] & ~np.uint64(classes - 1)) | present.astype(np.uint64)).view(np.int64).tolist()
+
+
 def _sketches(docs: DataFrame, width: int, scope: str) -> DataFrame:
-    """id, doc_id, text_hash, fp, classes (least hash of each) and sketch, stored. id tells rows apart."""
+    """id, doc_id, text_hash, fp, n (size of the set), classes and further (least hashes) and sketch, stored. id tells rows apart."""
 
     def make():
         state = [TaskContext.get().partitionId() << 40]
 
         def step(batch: pa.RecordBatch) -> dict[str, object]:
-            prints, classes, sketches = [], [], []
+            prints, sizes, classes, further, sketches = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_set(text, width)
                 prints.append(fingerprint(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)))  # of the set, whatever repeats
-                kind = (hashes & np.uint64(CLASSES - 1)).astype(np.int64)
-                present, first = np.unique(kind, return_index=True)  # hashes are sorted, so the first is the least
-                classes.append([int(h) for h in ((hashes[first] & ~np.uint64(CLASSES - 1)) | present.astype(np.uint64)).view(np.int64)])
+                sizes.append(len(hashes))
+                classes.append(least_of_classes(hashes, CLASSES))
+                further.append(least_of_classes(np.sort(hashes * np.uint64(0x9E3779B97F4A7C15)), FURTHER))
                 sketches.append(np.unique((hashes[: SKETCH + 8] >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes())
             ids = np.arange(len(prints)) + state[0]
             state[0] += len(prints)
-            return {"id": ids, "doc_id": batch.column(0), "text_hash": batch.column(2), "fp": prints, "classes": classes, "sketch": sketches}
+            own = {"id": ids, "doc_id": batch.column(0), "text_hash": batch.column(2)}
+            return own | {"fp": prints, "n": sizes, "classes": classes, "further": further, "sketch": sketches}
 
         return step
 
     batch_rows(docs.sparkSession, 512)
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty(), F.xxhash64(text_or_empty()))
-    return store(map_arrow(rows, "id long, doc_id long, text_hash long, fp long, classes array<long>, sketch binary", make), "sketches", scope)
-
-
-def _index_rows(rows: DataFrame) -> DataFrame:
-    """(key, id, fp) with keys of both the old key and a Golay index of the fingerprint."""
-
-    def make():
-        def step(batch: pa.RecordBatch) -> dict[str, object]:
-            keys, ids, prints = (batch.column(k).to_numpy() for k in range(3))
-            index, owners = index_keys(prints)
-            with np.errstate(over="ignore"):
-                key = (keys[owners].view(np.uint64) ^ index.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-            key ^= key >> np.uint64(31)
-            return {"key": key.view(np.int64), "id": ids[owners], "fp": prints[owners]}
-
-        return step
-
-    return map_arrow(rows.select("key", "id", "fp"), "key long, id long, fp long", make)
+    return store(map_arrow(rows, SKETCHES, make), "sketches", scope)
+
+
+def _refined(large: DataFrame, sketches: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
+    """(key, id) of large buckets as they are to be compared, and (key, id, fp) of those that further hashes split, by their parts' keys."""
+    sizes = large.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > REFINE)
+    huge = large.join(sizes, "key").select("key", "id", "fp", "n").join(sketches.select("id", F.explode("further").alias("hash")), "id")
+    parts = huge.groupBy("key", "hash").agg(F.count("*").alias("part"), F.first("n").alias("n"))
+    work = F.sum(F.when(F.col("part") > SMALL, F.col("part").cast("double") * F.col("part")).otherwise(0.0))
+    split = store(parts.groupBy("key").agg(work.alias("work"), F.first("n").alias("n")).filter(F.col("work") < F.col("n").cast("double") * F.col("n")).select("key"), "split", scope)
+    whole = large.join(split, "key", "left_anti").select("key", "id")
+    fine = huge.join(split, "key", "left_semi").select(F.xxhash64("key", "hash").alias("key"), "id", "fp")
+    return whole, fine
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each sorted set 15 bits (odd) of the least hash in each of SIGNATURE classes, zero in empty ones, and how many are not empty."""
+    found = np.zeros((len(sets), SIGNATURE), np.uint16)
+    for row, hashes in zip(found, sets, strict=True):
+        present, first = np.unique((hashes & np.uint64(SIGNATURE - 1)).astype(np.int64), return_index=True)
+        row[present] = (hashes[first] >> np.uint64(7)).astype(np.uint16) | 1
+    return found, (found > 0).sum(axis=1)
+
+
+def forest(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links of the similar pairs of rows, of two blocks or of one, without those whose ends are connected already."""
+    sizes = np.array([len(x) for x in sets])
+    own, filled = signatures(sets)
+    ends = np.cumsum(sizes)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(codes), bool)
+    two = len(np.unique(blocks)) > 1
+    root, links = np.arange(len(ids)), []
+    for i in range(len(ids) - 1):
+        rest = slice(i + 1, None)
+        use = (root[rest] != root[i]) & (np.minimum(sizes[rest], sizes[i]) / np.maximum(sizes[rest], sizes[i]) >= similarity)
+        if two:
+            use &= blocks[rest] != blocks[i]
+        near = np.flatnonzero(use) + i + 1
+        same = (own[near] == np.where(own[i] > 0, own[i], 2)).sum(axis=1)
+        most = np.maximum(filled[near], filled[i])
+        near = near[same >= similarity * most - 6 * np.sqrt(similarity * (1 - similarity) * most)]
+        if len(near) > 32:  # counted for all rows after this one at once
+            mine = codes[ends[i] - sizes[i] : ends[i]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[codes[ends[i] :]], ends[i:-1] - ends[i], dtype=np.int64)[near - i - 1]
+            mark[mine] = False
+            near = near[both / (sizes[near] + sizes[i] - both) >= similarity]
+        else:
+            near = near[[similar(sets[i], sets[j], similarity) for j in near.tolist()]] if len(near) else near
+        for j in near.tolist():
+            if root[i] != root[j]:
+                links.append((ids[i], ids[j]))
+                root[root == root[j]] = root[i]
+    return links
 
 
 def _block_links(large: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Verified links of large buckets: blocks of their rows meet two by two, and each pair of blocks gives a forest of links."""
-    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("blocks"))
-    placed = large.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = placed.select("key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id")
-    met = met.join(sketches.select("id", "fp", "text_hash"), "id").join(sets, "text_hash").select("key", "x", "y", "id", "fp", "hashes")
-
-    def forest(table: pa.Table) -> pa.Table:
-        ids, prints = table["id"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
+    placed = large.join(sketches.select("id", "n", "text_hash"), "id")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    placed = placed.join(large.join(sketches.select("id", "n"), "id").groupBy("key").agg(blocks.alias("blocks")), "key")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = placed.select("key", "id", "text_hash", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", "text_hash")
+    met = met.join(sets, "text_hash").select("key", "x", "y", "id", "block", "hashes")
+
+    def run(table: pa.Table) -> pa.Table:
         own = [np.frombuffer(s, np.uint64) for s in table["hashes"].to_pylist()]
-        root, links = np.arange(len(ids)), []
-        for i in range(len(ids) - 1):
-            near = np.flatnonzero((np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= MAX_BITS) & (root[i + 1 :] != root[i])) + i + 1
-            for j in near.tolist():
-                if root[i] != root[j] and similar(own[i], own[j], similarity):
-                    links.append((ids[i], ids[j]))
-                    root[root == root[j]] = root[i]
+        links = forest(table["id"].to_numpy(), table["block"].to_numpy(), own, similarity)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return met.groupBy("key", "x", "y").applyInArrow(forest, "a long, b long")
+    return met.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def _close_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -367,8 +403,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     rows = sketches.select(F.explode("classes").alias("key"), "id", "fp")
     pairs, large = bucket_pairs(rows, MAX_BITS, SMALL, scope)
     large = store(large, "large", scope)
-    fine, dense = bucket_pairs(_index_rows(large), MAX_BITS, SMALL, scope)
-    dense = store(dense, "dense", scope)
+    whole, parts = _refined(large, sketches, scope)
+    fine, dense = bucket_pairs(parts, MAX_BITS, SMALL, scope)
+    dense = store(whole.union(dense.select("key", "id")), "dense", scope)
     close = store(_close_pairs(pairs.union(fine).distinct(), sketches, similarity), "close", scope)
     dense_texts = sketches.join(dense.select("id").distinct(), "id", "left_semi").select("text_hash")
     sets = _sets(docs, close.select(F.col("text_a").alias("text_hash")).union(close.select("text_b")).union(dense_texts), width, scope)

@@ -191,6 +191,28 @@ def test_near_duplicates_of_long_texts_are_exact(spark):
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(wanted))
 
 
+@pytest.mark.parametrize("refine, common", [(8192, 150), (100, 45)])
+def test_large_buckets_lose_no_pair(spark, monkeypatch, refine, common):
+    """1,200 texts that are mostly one passage, or have one, with varied edits: in pairs at 0.805, the pairs far below."""
+    from tessera.llm import simhash
+
+    monkeypatch.setattr(simhash, "REFINE", refine, raising=False)
+    rng = random.Random(3)
+    word = lambda: str(rng.randrange(10**9))
+    passage, texts, wanted = [word() for _ in range(common)], [], {}
+    for k in range(0, 1200, 2):
+        one = passage + [word() for _ in range(180 - common)]
+        two = list(one)
+        at, then = rng.randrange(4, 70), rng.randrange(80, 166)
+        two[at : at + 5], two[then : then + 6] = [word() for _ in range(5)], [word() for _ in range(6)]
+        sets = [{tuple(t[i : i + 5]) for i in range(176)} for t in (one, two)]
+        assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.81
+        texts += [(k, " ".join(one)), (k + 1, " ".join(two))]
+        wanted |= {k: k, k + 1: k}
+    found = simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in found} == wanted
+
+
 # --- 2, 6, 8 ------------------------------------------------------------------------------------------------
 
 
