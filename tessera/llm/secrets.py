@@ -1,7 +1,8 @@
 """Secret scan: pattern candidates, and structural confirmation of encoded keys and signed tokens.
 
-Plain patterns give assignments, access key ids and hex runs. Beyond them, every base64 and hex run, PEM block
-and dotted token is decoded and reported only if its bytes have the structure of a key: DER whose nested lengths
+Plain patterns give assignments, access key ids and hex runs (in lower case). Beyond them, base64 runs and lines of them, hex
+runs in either case, PEM blocks and dotted tokens are decoded from their start and from every place where a key could begin, and
+reported only if the bytes have the structure of a key: DER whose nested lengths
 add up and whose members are those of PKCS#1, PKCS#8, SEC1 or SPKI; SSH blobs whose length prefixes add up; a
 signed token whose header is a JSON object with an algorithm and whose payload is a JSON object.
 
@@ -28,9 +29,14 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "b64key", "hexkey")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]++|-(?!----))*+)-----END \1-----")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+HEX_RUN = re.compile(r"[0-9A-Fa-f]{32,}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/]{32,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/]+)+={0,2}")
+# Where a key could begin: a DER sequence whose first member is an integer or a sequence, an SSH name's length, OPENSSH.
+BASE64_START = re.compile(r"(?=M[A-P][A-Za-z0-9+/_-]{14}|AAAA[BCE][23][NV]|b3BlbnNza)")
+HEX_START = re.compile(r"(?=30(?:[0-7].|81..|82.{4}|83.{6}|84.{8})(?:02|30)|000000(?:07|0b|13)|6f70656e7373682d6b65)", re.I)
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 OPENSSH = b"openssh-key-v1\x00"
 INTEGER, BIT_STRING, OCTET_STRING, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
@@ -110,6 +116,71 @@ def is_key(data: bytes) -> bool:
     return len(data) >= 16 and (is_der_key(data) or is_ssh_key(data))
 
 
+def key_size(data: bytes) -> int:
+    """Bytes of the key that data begins with: all of them, or as many as a DER header says; 0 if there is none."""
+    if is_key(data):
+        return len(data)
+    if data[:1] != b"\x30" or len(data) < 16:
+        return 0
+    width = data[1] & 0x7F if data[1] & 0x80 else 0
+    size = 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+    return size if width <= 4 and size < len(data) and is_key(data[:size]) else 0
+
+
+def _inner_base64(run: str) -> list[tuple[int, int]]:
+    """Keys that begin inside a base64 run, as places in it; they don't overlap."""
+    found, after, text = [], 0, run.rstrip("=")
+    for m in BASE64_START.finditer(text):
+        at = m.start()
+        if at < after or text[at] == "M" and not _fits(_unbase64(text[at : at + 16]), (len(text) - at) * 3 // 4):
+            continue
+        rest = text[at:]
+        data = _unbase64(rest if len(rest) % 4 != 1 else rest[:-1])
+        if size := key_size(data):
+            after = len(run) if size == len(data) else at + (size * 4 + 2) // 3
+            found.append((at, after))
+    return found
+
+
+def _fits(head: bytes, most: int) -> bool:
+    """Whether a DER sequence of an integer or a sequence begins here and ends within `most` bytes."""
+    if len(head) < 12 or head[0] != SEQUENCE:
+        return False
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    size = int.from_bytes(head[2 : 2 + width], "big") if width else head[1]
+    return width <= 4 and 2 + width + size <= most and head[2 + width] in (INTEGER, SEQUENCE)
+
+
+def _inner_hex(run: str) -> list[tuple[int, int]]:
+    """Keys in a hex run, as places in it; they don't overlap."""
+    found, after = [], 0
+    for m in HEX_START.finditer(run):
+        at = m.start()
+        rest = run[at : len(run) - (len(run) - at) % 2]
+        head = bytes.fromhex(rest[:24])
+        if at < after or head[:1] == b"\x30" and not _fits(head, len(rest) // 2):
+            continue
+        data = bytes.fromhex(rest)
+        if size := key_size(data):
+            after = len(run) if size == len(data) else at + 2 * size
+            found.append((at, after))
+    return found
+
+
+def _wrapped_keys(text: str, armoured: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Keys in base64 that goes over lines, outside PEM blocks."""
+    found = []
+    for m in WRAPPED.finditer(text):
+        if any(a <= m.start() < b for a, b in armoured):
+            continue
+        places = [i for i in range(*m.span()) if not text[i].isspace()]
+        for a, b in _inner_base64("".join(text[i] for i in places)):
+            start, end = places[a], places[b - 1] + 1
+            if "\n" in text[start:end]:  # the others are found in their line
+                found.append((start, end))
+    return found
+
+
 def is_signed_token(text: str) -> bool:
     head, body, _ = text.split(".")
     try:
@@ -124,22 +195,27 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     spans = []
     spans += [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
     spans += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    for m in HEX.finditer(text):
-        spans.append(("hex", *m.span()))
-        run = m[0][: len(m[0]) & ~1]
-        if len(run) >= 32 and is_key(bytes.fromhex(run)):
-            spans.append(("hexkey", *m.span()))
+    spans += [("hex", *m.span()) for m in HEX.finditer(text)]
+    for m in HEX_RUN.finditer(text):
+        whole = m[0][: len(m[0]) & ~1]
+        inner = [(0, len(m[0]))] if is_key(bytes.fromhex(whole)) else _inner_hex(m[0])
+        spans += [("hexkey", m.start() + a, m.start() + b) for a, b in inner]
+    armoured = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
+            armoured.append(m.span())
             lines = [x for x in m[2].split("\n") if ":" not in x]
             if is_key(_unbase64("".join("".join(lines).split()))) or "ENCRYPTED" in m[0]:
                 spans.append(("pem", *m.span()))
     if "eyJ" in text:
         spans += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     for m in BASE64.finditer(text):
-        if m[0][0] in "MA" or m[0].startswith("b3BlbnNza"):  # 0x30 and 0x00 begin a key; so do OPENSSH's first bytes
-            if is_key(_unbase64(m[0])):
-                spans.append(("b64key", *m.span()))
+        # 0x30 and 0x00 begin a key; so do OPENSSH's first bytes
+        if (m[0][0] in "MA" or m[0].startswith("b3BlbnNza")) and is_key(_unbase64(m[0])):
+            spans.append(("b64key", *m.span()))
+        else:
+            spans += [("b64key", m.start() + a, m.start() + b) for a, b in _inner_base64(m[0])]
+    spans += [("b64key", a, b) for a, b in _wrapped_keys(text, armoured)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -387,6 +387,31 @@ def test_secret_spans(spark, empty):
     assert base_digest([]) == hashlib.sha256(b"").hexdigest() and find_secrets(empty).count() == 0
 
 
+def test_secret_keys_in_other_forms():
+    """Hex in any case, keys inside longer runs, base64 over lines, and legacy encrypted PEM."""
+    import base64
+
+    from tessera.llm.secrets import scan
+
+    rng = random.Random(12)
+    member = lambda tag, data: bytes([tag, 0x82]) + len(data).to_bytes(2, "big") + data
+    key = member(0x30, b"\x02\x01\x00" + b"".join(member(2, b"\x01" + rng.randbytes(63)) for _ in range(8)))
+    b64 = base64.b64encode(key).decode()
+    lines = "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))
+    keys = lambda text: [(k, text[a:b]) for k, a, b in scan(text) if k in ("pem", "b64key", "hexkey")]
+    assert keys(f"x {key.hex().upper()} y") == [("hexkey", key.hex().upper())]
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(key.hex()))
+    assert keys(f"x {mixed} y") == [("hexkey", mixed)] and keys(f"x abc{mixed}ff y") == [("hexkey", mixed)]
+    for glue in ("path/", "key_", "a", "MMM/"):
+        assert keys(f"x {glue}{b64} y") == [("b64key", b64)]
+    assert keys(f"x\n{lines}\nand more") == [("b64key", lines)]
+    legacy = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{base64.b64encode(rng.randbytes(90)).decode()}\n-----END RSA PRIVATE KEY-----"
+    assert keys(f"x {legacy} y") == [("pem", legacy)]
+    armoured = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----"
+    assert keys(armoured) == [("pem", armoured)]
+    assert keys(base64.b64encode(rng.randbytes(3000)).decode() + rng.randbytes(3000).hex()) == []
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------
 
 
