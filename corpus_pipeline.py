@@ -23,15 +23,22 @@ from tessera.llm.simhash import near_duplicates
 BROADCAST_DROPPED = 300_000
 
 
-def _without(docs: DataFrame, dropped: DataFrame, key: F.Column, scope: str) -> DataFrame:
-    """docs without the rows whose doc_id and key are in dropped(id, key)."""
-    dropped = store(dropped, "dropped", scope)
+def _without(docs: DataFrame, found: DataFrame, key: F.Column, scope: str) -> DataFrame:
+    """docs without the rows whose doc_id and key are in found(id, key, kept) as not kept; of rows that share a kept id and key, one stays."""
+    same_key = found.groupBy("id", "key").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    dropped = store(same_key.filter(~F.col("kept") | (F.col("n") > 1)).select("id", "key", "kept"), "dropped", scope)
     if dropped.count() <= BROADCAST_DROPPED:
         dropped = F.broadcast(dropped)
     names = docs.columns
     keyed = docs.withColumn("_row_key", key)
     same = reduce(lambda a, b: a & b, (keyed["doc_id"].eqNullSafe(dropped["id"]), keyed["_row_key"] == dropped["key"]))
-    return keyed.join(dropped, same, "left_anti").select(*names)
+    rest = keyed.join(dropped, same, "left_anti").select(*names)
+    repeated = dropped.filter("kept")
+    if repeated.isEmpty():
+        return rest
+    longest = F.struct(-F.char_length(text_or_empty()), text_or_empty())
+    one = keyed.join(repeated, same, "left_semi").groupBy("doc_id", "_row_key").agg(F.min_by(F.struct(*names), longest).alias("_row"))
+    return rest.union(one.select(*(F.col("_row")[n].alias(n) for n in names)))
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,16 +50,16 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     found = exact_duplicates(docs, "pipeline-exact")
-    dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key"))
-    return _without(docs, dropped, F.sha2(normalised(text_or_empty()), 256), "pipeline-exact")
+    found = found.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key"), "kept")
+    return _without(docs, found, F.sha2(normalised(text_or_empty()), 256), "pipeline-exact")
 
 
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: shingles of five words, similarity of 0.8."""
     release(spark, "pipeline-exact")
     found = near_duplicates(docs, scope="pipeline-near")
-    dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("key"))
-    return _without(docs, dropped, F.xxhash64(text_or_empty()), "pipeline-near")
+    found = found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("key"), "kept")
+    return _without(docs, found, F.xxhash64(text_or_empty()), "pipeline-near")
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -398,7 +398,7 @@ def _verified(close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, scope: str = "op") -> DataFrame:
-    """doc_id, text_hash (XXH64 of the text), component_id (the group's smallest doc_id) and kept for every row of docs."""
+    """doc_id, text_hash (XXH64 of the text), component_id (the group's smallest doc_id) and kept (of one row of the group) for every row of docs."""
     sketches = _sketches(docs, width, scope)
     rows = sketches.select(F.explode("classes").alias("key"), "id", "fp")
     pairs, large = bucket_pairs(rows, MAX_BITS, SMALL, scope)
@@ -412,6 +412,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     roots = components(_verified(close, sets, similarity).union(_block_links(dense, sketches, sets, similarity)), scope)
     named = sketches.select("id", "doc_id", "text_hash").join(roots, F.col("id") == F.col("node"), "left")
     named = named.select("id", "doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("doc_id", "text_hash", "component_id")
-    return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "id")).alias("first")
+    named = named.join(named.groupBy("root").agg(first), "root")
+    return named.select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), (F.col("id") == F.col("first.id")).alias("kept"))

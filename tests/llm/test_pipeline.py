@@ -54,5 +54,22 @@ def test_stages_follow_their_operators(spark, tmp_path):
     assert {p.doc_id for p in pieces} == kept
 
 
+def test_dedup_keeps_one_row_of_groups_without_ids_of_their_own(spark, tmp_path):
+    words = [f"w{i}" for i in range(300)]
+    near = " ".join(words[:100] + ["other"] + words[101:])
+    rows = [(7, "same text here"), (7, "same  text here"), (None, "no id"), (None, "no id"), (8, " ".join(words)), (8, near), (None, "alone"), (9, "more"), (9, "less")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    exact = corpus_pipeline.exact_stage(spark, docs, SF)
+    assert exact.columns == docs.columns
+    exact.write.parquet(str(tmp_path / "exact"))
+    exact = spark.read.parquet(str(tmp_path / "exact"))
+    wanted = [(7, "same  text here"), (None, "no id"), (8, " ".join(words)), (8, near), (None, "alone"), (9, "more"), (9, "less")]
+    assert sorted((str(r.doc_id), r.text) for r in exact.collect()) == sorted((str(d), t) for d, t in wanted)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, exact, SF).collect()]
+    assert len(got) == 6 and sum(d == 8 for d, _ in got) == 1
+    again = [r.text for r in corpus_pipeline.near_stage(spark, docs.filter("doc_id is null"), SF).collect()]
+    assert sorted(again) == ["alone", "no id"]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
