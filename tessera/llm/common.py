@@ -17,11 +17,13 @@ _MADE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session, whose
+    executors are the driver, has a temporary one; a cluster is refused, as its executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-"))
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return base.rstrip("/")
 
 
@@ -40,29 +42,50 @@ def store(df: DataFrame, tag: str, scope: str = "op", **options: str) -> DataFra
 
 def release(spark: SparkSession, scope: str = "op") -> None:
     """Delete the scratch tables of a scope. Call it once what was made from them is written elsewhere."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for path in _MADE.pop(f"{spark.sparkContext.applicationId}/{scope}", []):
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(hadoop).delete(where, True)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object] | pa.RecordBatch | None]]) -> DataFrame:
-    """Run make() once a task and its result on every Arrow batch; dicts of columns become batches of the schema."""
+#: Rows that a step of an Arrow map works on at once. Spark bounds a batch by its own rows and bytes; steps are slices of it.
+STEP_ROWS = 512
+
+
+def steps(batches: Iterator[pa.RecordBatch], rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows, without empty ones. No session setting is touched."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object] | pa.RecordBatch | None]], rows: int = STEP_ROWS) -> DataFrame:
+    """Run make() once a task and its result on every slice of a batch; dicts of columns become batches of the schema."""
     fields = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
-                if isinstance(out, dict):
-                    out = pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in fields], schema=fields)
-                if out is not None and out.num_rows:
-                    yield out
+        for batch in steps(batches, rows):
+            out = step(batch)
+            if isinstance(out, dict):
+                out = pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in fields], schema=fields)
+            if out is not None and out.num_rows:
+                yield out
 
     return df.mapInArrow(run, schema)
 
@@ -85,17 +108,18 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return _fields(ddl)
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch, for columns of long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Schemes that Hadoop and pyarrow name differently.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def open_fs(uri: str):
     """pyarrow's filesystem for a folder's URI, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri.removeprefix("file:")))
+    scheme, colon, rest = uri.partition("://")
+    if not colon:
+        return fs.FileSystem.from_uri("file://" + os.path.abspath(uri.removeprefix("file:")))
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def write_file(uri: str, name: str, chunks: list[bytes]) -> None:
@@ -109,15 +133,16 @@ def write_file(uri: str, name: str, chunks: list[bytes]) -> None:
     filesystem.move(temporary, f"{folder}/{name}")
 
 
-def filter_arrow(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+def filter_arrow(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]], rows: int = STEP_ROWS) -> DataFrame:
     """The rows of df, unchanged, for whose value of a column the test that make() returns says True."""
+    at = [c.lower() for c in df.columns].index(column.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = batch.filter(pa.array(test(batch.column(column).to_pylist()), pa.bool_()))
-                if out.num_rows:
-                    yield out
+        for batch in steps(batches, rows):
+            out = batch.filter(pa.array(test(batch.column(at).to_pylist()), pa.bool_()))
+            if out.num_rows:
+                yield out
 
-    return df.mapInArrow(run, df.schema)
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # names may hold dots, which Arrow maps do not take
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

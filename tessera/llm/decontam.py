@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_rows, filter_arrow, map_arrow, text_or_empty
+from tessera.llm.common import filter_arrow, map_arrow, text_or_empty
 
 WORD = re.compile(r"[^\W_]+")
 WIDTH, THRESHOLD = 5, 0.8
@@ -125,7 +125,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[Broadcast]:
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) for all pairs of a document and an item in it."""
-    batch_rows(docs.sparkSession, 512)
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     found = []
     for items in _blocks(benchmark):
@@ -146,7 +145,6 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, in which no item is found."""
-    batch_rows(docs.sparkSession, 512)
     for items in _blocks(benchmark):
 
         def make(items=items):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _arrow_schema, batch_rows, store, text_or_empty
+from tessera.llm.common import _arrow_schema, steps, store, text_or_empty
 from tessera.llm.tokens import DEFAULT_VOCABULARY, encoder
 
 LENGTH = 1024
@@ -46,7 +46,6 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def tokenised(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, end_id: int = 0, scope: str = "op") -> DataFrame:
     """doc_id, queue, the task's number, the tokens of the queue before it in that task, its own, and its ids; stored."""
-    batch_rows(docs.sparkSession, 512)
     fields = _arrow_schema(docs.sparkSession, TOKENS)
     sources = docs.select(F.col("source").cast("string").alias("source"))
     queue = F.concat(F.lit("s:"), F.col("source").cast("string"))
@@ -59,7 +58,7 @@ def tokenised(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, end_id: int
         width = 2 if encode.code == "H" else 4
         end = end_id.to_bytes(width, "little")
         part, before = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in steps(batches):
             queues = batch.column(1).to_pylist()
             ids = [encode.encode(t) + end for t in batch.column(2).to_pylist()]
             at, n = [], [len(x) // width for x in ids]
@@ -147,7 +146,7 @@ def pack(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, end_id: int = 0,
 def _placing(state, length: int, window: int, fields: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         robin = RoundRobin(*state.value, length, window)
-        for batch in batches:
+        for batch in steps(batches):
             rows = []
             for doc, queue, at, n, width, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = memoryview(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())

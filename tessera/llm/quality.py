@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_rows, filter_arrow, map_arrow, text_or_empty
+from tessera.llm.common import filter_arrow, map_arrow, text_or_empty
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Rows that fitting reads at most, and the steps and rate of its gradient descent.
@@ -172,7 +172,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
 
 def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     """doc_id and score for every row of docs."""
-    batch_rows(docs.sparkSession, 512)
     state = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -189,7 +188,6 @@ def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
 
 def keep_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose score is at least the threshold."""
-    batch_rows(docs.sparkSession, 512)
     state = docs.sparkSession.sparkContext.broadcast(model)
     return filter_arrow(docs, "text", lambda: lambda texts: state.value.score(features([t or "" for t in texts])) >= threshold)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_rows, map_arrow, text_or_empty
+from tessera.llm.common import map_arrow, text_or_empty
 
 # Kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "b64key", "hexkey")
@@ -221,8 +221,6 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and the array of spans (kind, start, end) for every row of docs."""
-    batch_rows(docs.sparkSession, 512)
-
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, object]:
             found = [scan(t) for t in batch.column(1).to_pylist()]

@@ -15,14 +15,7 @@ fingerprints share is not compared pair by pair: each of its fingerprints goes t
 one bit. Those that meet are within two bits of each other, and any two within two bits meet, so linking all that
 meet to one of them gives the same components, with at most 65 in one place.
 
-near_duplicates() finds documents by similarity of their shingle sets instead. At a Jaccard similarity of 0.8, 64-bit
-fingerprints differ in ten bits on average, too many for a search within two. So documents meet by the least hash
-in each of eight classes of shingle hashes (missed with probability 0.2 ** 8 at 0.8). In a bucket of up to SMALL, fingerprints
-that differ in over MAX_BITS bits are passed over, and so are pairs whose sketches of the least 256 hashes are MARGIN (six
-deviations) below the similarity. In a larger one all rows are compared, block by block, and only pairs whose signatures are
-six deviations below are passed over. A bucket of over REFINE rows is split by further least hashes, in sixteen classes by
-another order (missed with probability 0.2 ** 16), unless its parts together would be no less work than the whole, as with
-near copies of one text. What is left is verified on the whole shingle sets, exactly.
+near.py finds documents by the similarity of their shingle sets, over the same keys and others.
 
 Words are runs of characters other than space and 09-0D, lower-cased in A-Z. A text of fewer words than a shingle
 has one shingle, the whole sequence; one without words (or null) has the fingerprint zero. A null doc_id is
@@ -38,11 +31,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_rows, map_arrow, store, text_or_empty
+from tessera.llm.common import map_arrow, store, text_or_empty
 from tessera.llm.components import components
 
 SEED, WIDTH, BITS = 42, 3, 2
@@ -52,14 +44,6 @@ BLOCK = 1 << 15
 # The Golay code's generator polynomial, and where the segments lie.
 GENERATOR = 0b110001110101
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
-#: near_duplicates(): classes of shingle hashes, hashes in a sketch, bits that fingerprints may differ in.
-CLASSES, SKETCH, MAX_BITS, SIMILARITY = 8, 256, 24, 0.8
-#: Classes of further hashes, rows of a bucket from which they are used, rows and bytes of sets in a block, hashes in a signature.
-FURTHER, REFINE, BLOCK_ROWS, BLOCK_BYTES, SIGNATURE = 16, 8192, 2048, 32 << 20, 128
-#: What a sketch may be below the similarity; six deviations at 0.8.
-MARGIN = 0.15
-#: Up to so many hashes of texts to be verified are sent to all executors (8 bytes each); more are joined by a shuffle.
-BROADCAST_NEEDED = 300_000
 
 
 # --- Golay code ---------------------------------------------------------------------------------------------
@@ -143,8 +127,6 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id and fp for every row of docs."""
-    batch_rows(docs.sparkSession, 512)
-
     def make():
         return lambda batch: {"doc_id": batch.column(0), "fp": [fingerprint(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]}
 
@@ -182,7 +164,6 @@ def fingerprint_links(nodes: DataFrame, scope: str = "op") -> DataFrame:
 
         return step
 
-    batch_rows(nodes.sparkSession, 4096)
     keys = map_arrow(nodes.select("fp"), "key long, id long, fp long", make)
     links, large = bucket_pairs(keys, BITS, SMALL, scope)
     changes = F.array(F.lit(0).cast("long"), *(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)))
@@ -207,211 +188,3 @@ def simhash_groups(docs: DataFrame, scope: str = "op") -> DataFrame:
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     groups = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# --- Similarity of shingle sets -----------------------------------------------------------------------------
-
-
-def set_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two whole sets without repeats."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity from the least hashes of two sets, sorted; a sketch of fewer than SKETCH has all of its set."""
-    least = min((x[-1] for x in (a, b) if len(x) >= SKETCH), default=None)
-    if least is not None:
-        a, b = a[: np.searchsorted(a, least, "right")], b[: np.searchsorted(b, least, "right")]
-    return set_similarity(a, b)
-
-
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two whole sets, sorted, have the similarity; sizes and sketches only pass over what cannot have it."""
-    least, most = sorted((len(a), len(b)))
-    if least / max(1, most) < similarity:
-        return False
-    if most > SKETCH and sketch_similarity(a[:SKETCH], b[:SKETCH]) < similarity - MARGIN:
-        return False
-    return set_similarity(a, b) >= similarity
-
-
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """The different hashes of a text's shingles, sorted; a text without words has the hash zero."""
-    rows = shingle_hashes(text, width)
-    return np.unique(rows.view(">u8").ravel().astype(np.uint64)) if len(rows) else np.zeros(1, np.uint64)
-
-
-def _sets(docs: DataFrame, needed: DataFrame, width: int, scope: str) -> DataFrame:
-    """(text_hash, hashes) with the shingle_set() of each text in needed(text_hash), stored."""
-    needed = store(needed.distinct(), "needed", scope)
-    if needed.count() <= BROADCAST_NEEDED:
-        needed = F.broadcast(needed)
-    texts = docs.select(F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).join(needed, "text_hash")
-    texts = texts.select("text_hash", "text").dropDuplicates(["text_hash"])
-
-    def make():
-        return lambda batch: {"text_hash": batch.column(0), "hashes": [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]}
-
-    batch_rows(docs.sparkSession, 512)
-    return store(map_arrow(texts, "text_hash long, hashes binary", make), "sets", scope)
-
-
-SKETCHES = "id long, doc_id long, text_hash long, fp long, n long, classes array<long>, further array<long>, sketch binary"
-
-
-def least_of_classes(hashes: np.ndarray, classes: int) -> list[int]:
-    """The least of the sorted hashes in each class that has one, with the class in its low bits."""
-    kind = (hashes & np.uint64(classes - 1)).astype(np.int64)
-    present, first = np.unique(kind, return_index=True)  # hashes are sorted, so the first is the least
-    return ((hashes[first] & ~np.uint64(classes - 1)) | present.astype(np.uint64)).view(np.int64).tolist()
-
-
-def _sketches(docs: DataFrame, width: int, scope: str) -> DataFrame:
-    """id, doc_id, text_hash, fp, n (size of the set), classes and further (least hashes) and sketch, stored. id tells rows apart."""
-
-    def make():
-        state = [TaskContext.get().partitionId() << 40]
-
-        def step(batch: pa.RecordBatch) -> dict[str, object]:
-            prints, sizes, classes, further, sketches = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_set(text, width)
-                prints.append(fingerprint(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)))  # of the set, whatever repeats
-                sizes.append(len(hashes))
-                classes.append(least_of_classes(hashes, CLASSES))
-                further.append(least_of_classes(np.sort(hashes * np.uint64(0x9E3779B97F4A7C15)), FURTHER))
-                sketches.append(np.unique((hashes[: SKETCH + 8] >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes())
-            ids = np.arange(len(prints)) + state[0]
-            state[0] += len(prints)
-            own = {"id": ids, "doc_id": batch.column(0), "text_hash": batch.column(2)}
-            return own | {"fp": prints, "n": sizes, "classes": classes, "further": further, "sketch": sketches}
-
-        return step
-
-    batch_rows(docs.sparkSession, 512)
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty(), F.xxhash64(text_or_empty()))
-    return store(map_arrow(rows, SKETCHES, make), "sketches", scope)
-
-
-def _refined(large: DataFrame, sketches: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
-    """(key, id) of large buckets as they are to be compared, and (key, id, fp) of those that further hashes split, by their parts' keys."""
-    sizes = large.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > REFINE)
-    huge = large.join(sizes, "key").select("key", "id", "fp", "n").join(sketches.select("id", F.explode("further").alias("hash")), "id")
-    parts = huge.groupBy("key", "hash").agg(F.count("*").alias("part"), F.first("n").alias("n"))
-    work = F.sum(F.when(F.col("part") > SMALL, F.col("part").cast("double") * F.col("part")).otherwise(0.0))
-    split = store(parts.groupBy("key").agg(work.alias("work"), F.first("n").alias("n")).filter(F.col("work") < F.col("n").cast("double") * F.col("n")).select("key"), "split", scope)
-    whole = large.join(split, "key", "left_anti").select("key", "id")
-    fine = huge.join(split, "key", "left_semi").select(F.xxhash64("key", "hash").alias("key"), "id", "fp")
-    return whole, fine
-
-
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each sorted set 15 bits (odd) of the least hash in each of SIGNATURE classes, zero in empty ones, and how many are not empty."""
-    found = np.zeros((len(sets), SIGNATURE), np.uint16)
-    for row, hashes in zip(found, sets, strict=True):
-        present, first = np.unique((hashes & np.uint64(SIGNATURE - 1)).astype(np.int64), return_index=True)
-        row[present] = (hashes[first] >> np.uint64(7)).astype(np.uint16) | 1
-    return found, (found > 0).sum(axis=1)
-
-
-def forest(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links of the similar pairs of rows, of two blocks or of one, without those whose ends are connected already."""
-    sizes = np.array([len(x) for x in sets])
-    own, filled = signatures(sets)
-    ends = np.cumsum(sizes)
-    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(len(codes), bool)
-    two = len(np.unique(blocks)) > 1
-    root, links = np.arange(len(ids)), []
-    for i in range(len(ids) - 1):
-        rest = slice(i + 1, None)
-        use = (root[rest] != root[i]) & (np.minimum(sizes[rest], sizes[i]) / np.maximum(sizes[rest], sizes[i]) >= similarity)
-        if two:
-            use &= blocks[rest] != blocks[i]
-        near = np.flatnonzero(use) + i + 1
-        same = (own[near] == np.where(own[i] > 0, own[i], 2)).sum(axis=1)
-        most = np.maximum(filled[near], filled[i])
-        near = near[same >= similarity * most - 6 * np.sqrt(similarity * (1 - similarity) * most)]
-        if len(near) > 32:  # counted for all rows after this one at once
-            mine = codes[ends[i] - sizes[i] : ends[i]]
-            mark[mine] = True
-            both = np.add.reduceat(mark[codes[ends[i] :]], ends[i:-1] - ends[i], dtype=np.int64)[near - i - 1]
-            mark[mine] = False
-            near = near[both / (sizes[near] + sizes[i] - both) >= similarity]
-        else:
-            near = near[[similar(sets[i], sets[j], similarity) for j in near.tolist()]] if len(near) else near
-        for j in near.tolist():
-            if root[i] != root[j]:
-                links.append((ids[i], ids[j]))
-                root[root == root[j]] = root[i]
-    return links
-
-
-def _block_links(large: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Verified links of large buckets: blocks of their rows meet two by two, and each pair of blocks gives a forest of links."""
-    placed = large.join(sketches.select("id", "n", "text_hash"), "id")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
-    placed = placed.join(large.join(sketches.select("id", "n"), "id").groupBy("key").agg(blocks.alias("blocks")), "key")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = placed.select("key", "id", "text_hash", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", "text_hash")
-    met = met.join(sets, "text_hash").select("key", "x", "y", "id", "block", "hashes")
-
-    def run(table: pa.Table) -> pa.Table:
-        own = [np.frombuffer(s, np.uint64) for s in table["hashes"].to_pylist()]
-        links = forest(table["id"].to_numpy(), table["block"].to_numpy(), own, similarity)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    return met.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
-
-
-def _close_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, text_a, text_b) for the pairs (a, b) whose sketches are not clearly distant."""
-    left, right = (sketches.select(F.col("id").alias(n), F.col("text_hash").alias(f"text_{n}"), F.col("sketch").alias(f"s{n}")) for n in "ab")
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sa, sb = ([np.frombuffer(x, "<u4") for x in batch.column(k).to_pylist()] for k in (4, 5))
-            ok = pa.array([sketch_similarity(x, y) >= similarity - MARGIN for x, y in zip(sa, sb, strict=True)])
-            return batch.select(["a", "b", "text_a", "text_b"]).filter(ok)
-
-        return step
-
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b", "sa", "sb")
-    return map_arrow(found, "a long, b long, text_a long, text_b long", make)
-
-
-def _verified(close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) of close pairs, by their whole sets."""
-    left, right = (sets.select(F.col("text_hash").alias(f"text_{n}"), F.col("hashes").alias(f"h{n}")) for n in "ab")
-
-    def make():
-        def step(batch: pa.RecordBatch) -> dict[str, object]:
-            ha, hb = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
-            ok = pa.array([similar(x, y, similarity) for x, y in zip(ha, hb, strict=True)])
-            return {"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)}
-
-        return step
-
-    return map_arrow(close.join(left, "text_a").join(right, "text_b").select("a", "b", "ha", "hb"), "a long, b long", make)
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, scope: str = "op") -> DataFrame:
-    """doc_id, text_hash (XXH64 of the text), component_id (the group's smallest doc_id) and kept (of one row of the group) for every row of docs."""
-    sketches = _sketches(docs, width, scope)
-    rows = sketches.select(F.explode("classes").alias("key"), "id", "fp")
-    pairs, large = bucket_pairs(rows, MAX_BITS, SMALL, scope)
-    large = store(large, "large", scope)
-    whole, parts = _refined(large, sketches, scope)
-    fine, dense = bucket_pairs(parts, MAX_BITS, SMALL, scope)
-    dense = store(whole.union(dense.select("key", "id")), "dense", scope)
-    close = store(_close_pairs(pairs.union(fine).distinct(), sketches, similarity), "close", scope)
-    dense_texts = sketches.join(dense.select("id").distinct(), "id", "left_semi").select("text_hash")
-    sets = _sets(docs, close.select(F.col("text_a").alias("text_hash")).union(close.select("text_b")).union(dense_texts), width, scope)
-    roots = components(_verified(close, sets, similarity).union(_block_links(dense, sketches, sets, similarity)), scope)
-    named = sketches.select("id", "doc_id", "text_hash").join(roots, F.col("id") == F.col("node"), "left")
-    named = named.select("id", "doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "id")).alias("first")
-    named = named.join(named.groupBy("root").agg(first), "root")
-    return named.select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), (F.col("id") == F.col("first.id")).alias("kept"))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _arrow_schema, batch_rows, map_arrow, store, text_or_empty
+from tessera.llm.common import _arrow_schema, map_arrow, steps, store, text_or_empty
 
 FOLDS, HELD_OUT = 5, 1
 #: Classes at most, their share of all words, the longest ending in bytes.
@@ -85,12 +85,11 @@ class _Segment:
 
 
 def _segments(docs: DataFrame, scope: str) -> DataFrame:
-    batch_rows(docs.sparkSession, 512)
     fields = _arrow_schema(docs.sparkSession, SEGMENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, segment = TaskContext.get().partitionId() << 20, _Segment()
-        for batch in batches:
+        for batch in steps(batches):
             for row in zip(*(batch.column(k).to_pylist() for k in (0, 2, 1)), strict=True):
                 segment.add(*row)
                 if segment.full():
@@ -186,7 +185,7 @@ def _choose_classes(words: DataFrame, total: int) -> Classes:
 
         return step
 
-    counts = map_arrow(words.filter("c > 0").select("word", "c"), "length long, ending long, n long", make)
+    counts = map_arrow(words.filter("c > 0").select("word", "c"), "length long, ending long, n long", make, rows=50_000)
     counts = counts.groupBy("length", "ending").agg(F.sum("n").alias("n")).filter(F.col("n") >= SHARE * total)
     chosen = counts.orderBy(F.desc("n"), "length", "ending").limit(CLASSES).collect()
     return Classes([(r["length"], r["ending"]) for r in chosen])
@@ -233,8 +232,7 @@ def _level_counts(segments: DataFrame, classes: Classes, length: int, frequent:
 
         return step
 
-    batch_rows(segments.sparkSession, 1)
-    counts = map_arrow(segments.select("words", "lengths", "ids", "folds"), "key long, n long", make)
+    counts = map_arrow(segments.select("words", "lengths", "ids", "folds"), "key long, n long", make, rows=1)
     return counts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -349,7 +347,7 @@ def _class_mass(words: DataFrame, classes: Classes, scale: float, ends: int) ->
     mass = np.zeros(256)
     mass[: classes.size] = 0.5
     mass[END], mass[BEGIN] = ends + 0.5, 0
-    sums = map_arrow(words.filter("c > 0").select("word", "c"), "symbol long, n double", make).groupBy("symbol").agg(F.sum("n").alias("n"))
+    sums = map_arrow(words.filter("c > 0").select("word", "c"), "symbol long, n double", make, rows=50_000).groupBy("symbol").agg(F.sum("n").alias("n"))
     for r in sums.collect():  # at most one row a class
         mass[r["symbol"]] += r["n"]
     return mass / scale
@@ -360,13 +358,11 @@ def score_texts(docs: DataFrame, scope: str = "op") -> DataFrame:
     spark = docs.sparkSession
     segments = _segments(docs, scope)
     entries = _entries(segments)
-    batch_rows(spark, 1)
     words = store(entries.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_last").alias("c_last")), "lm-words", scope)
     ends = docs.select(fold(F.col("doc_id")).alias("fold")).filter(F.col("fold") != HELD_OUT).count()
     known = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     total, distinct = (known[0] or 0) + ends, known[1] + (ends > 0)
     scale = total + 0.5 * (distinct + 1)
-    batch_rows(spark, 50_000)
     classes = _choose_classes(words, total)
     mass = _class_mass(words, classes, scale, ends)
     tree = learn(segments, classes, mass / mass.sum())
@@ -380,7 +376,6 @@ def score_texts(docs: DataFrame, scope: str = "op") -> DataFrame:
         return model.value.rows(segment | {"words": segment["words"].to_pybytes()}, c, fields)
 
     counted = entries.select(F.col("segment").alias("of"), "number", "word").join(words.select("word", "c"), "word").select("of", "number", "c")
-    batch_rows(spark, 50_000)  # of words; a segment is one row of its own group
     texts = segments.select("segment", "docs", "nulls", "folds", "lengths", "ids", "words")
     return texts.groupBy("segment").cogroup(counted.groupBy("of")).applyInArrow(add_up, OUT)
 

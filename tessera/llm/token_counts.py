@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_rows, map_arrow, text_or_empty
+from tessera.llm.common import map_arrow, text_or_empty
 from tessera.llm.tokens import DEFAULT_VOCABULARY, Cache, byte_letters, vocabulary_path
 
 LIMIT = 512
@@ -245,8 +245,6 @@ def counter(vocabulary: str = DEFAULT_VOCABULARY) -> PrefixCounter:
 
 def prefix_index(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, keep: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_tokens and, if they are to be kept, the changes by code point with their width in bytes."""
-    batch_rows(docs.sparkSession, 512)
-
     def make():
         count = counter(vocabulary)
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _arrow_schema, batch_rows, new_path, open_fs, store, text_or_empty
+from tessera.llm.common import _arrow_schema, new_path, open_fs, steps, store, text_or_empty
 from tessera.llm.tokens import DEFAULT_VOCABULARY, encoder
 
 MAGIC = b"TESSTOK1"
@@ -171,7 +171,6 @@ class Shard:
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str = DEFAULT_VOCABULARY, end_id: int = 0) -> DataFrame:
     """Write shards in ascending order of doc_id; return the manifest: part, shard, file, n_docs, n_tokens, base."""
-    batch_rows(docs.sparkSession, 512)
     fields = _arrow_schema(docs.sparkSession, MANIFEST)
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -183,7 +182,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = DEFAULT_VOCABUL
         end = end_id.to_bytes(2 if encode.code == "H" else 4, "little")
         part, done, shard, name = TaskContext.get().partitionId(), [], None, ""
         last, occurrence = object(), 0
-        for batch in batches:
+        for batch in steps(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 occurrence = occurrence + 1 if doc == last else 0
                 last = doc

@@ -138,16 +138,16 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_near_duplicates(docs, empty, spark):
-    from tessera.llm import simhash
+    from tessera.llm import near
 
-    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    got = {(r.doc_id, r.component_id) for r in near.near_duplicates(docs).collect()}
     assert {(120, 120), (121, 120), (122, 120), (110, 110), (130, 130)} <= got and (1, 1) in got
-    assert simhash.near_duplicates(empty).count() == 0
+    assert near.near_duplicates(empty).count() == 0
     rng = random.Random(6)
     base = [str(rng.randrange(10**6)) for _ in range(300)]
     rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :])) for i, k in enumerate(rng.choices(range(300), k=150))]
     rows += [(1000 + i, " ".join(base[:60] + [str(rng.randrange(10**6)) for _ in range(240)])) for i in range(120)]
-    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in found if r.doc_id < 1000} == {0} and all(r.kept for r in found if r.doc_id >= 1000)
 
 
@@ -176,8 +176,8 @@ def _brute_groups(texts, similarity=0.8):
 
 
 def test_near_duplicates_of_long_texts_are_exact(spark):
-    """Pairs between 0.77 and 0.83, of far more shingles than a sketch has: those at 0.8 and above are found, no others."""
-    from tessera.llm import simhash
+    """Pairs between 0.77 and 0.83, of long texts: those at 0.8 and above are found, no others."""
+    from tessera.llm import near
 
     rng = random.Random(8)
     texts = []
@@ -187,16 +187,16 @@ def test_near_duplicates_of_long_texts_are_exact(spark):
         texts += [" ".join(base), " ".join(other)]
     wanted = _brute_groups(texts)
     assert 20 < sum(i != g for i, g in enumerate(wanted)) < 100
-    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(wanted))
 
 
-@pytest.mark.parametrize("refine, common", [(8192, 150), (100, 45)])
-def test_large_buckets_lose_no_pair(spark, monkeypatch, refine, common):
+@pytest.mark.parametrize("place, common", [(1024, 150), (1024, 45), (100, 150), (100, 45)])
+def test_large_buckets_lose_no_pair(spark, monkeypatch, place, common):
     """1,200 texts that are mostly one passage, or have one, with varied edits: in pairs at 0.805, the pairs far below."""
-    from tessera.llm import simhash
+    from tessera.llm import near
 
-    monkeypatch.setattr(simhash, "REFINE", refine, raising=False)
+    monkeypatch.setattr(near, "BLOCK_ROWS", place)
     rng = random.Random(3)
     word = lambda: str(rng.randrange(10**9))
     passage, texts, wanted = [word() for _ in range(common)], [], {}
@@ -209,10 +209,37 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch, refine, common):
         assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.81
         texts += [(k, " ".join(one)), (k + 1, " ".join(two))]
         wanted |= {k: k, k + 1: k}
-    found = simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    found = near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
     assert {r.doc_id: r.component_id for r in found} == wanted
 
 
+def test_groups_of_thousands(spark):
+    """5,000 near copies of one text, 5,000 unlike texts that share a passage, and 20 pairs hidden among those."""
+    from tessera.llm import near
+
+    rng = random.Random(12)
+    word = lambda: str(rng.randrange(10**9))
+    base, passage, texts, wanted = [word() for _ in range(200)], [word() for _ in range(60)], [" ".join(word() for _ in range(9))], {0: 0}
+    texts.append(" ".join(base))
+    for _ in range(4999):
+        own = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            own[rng.randrange(200)] = word()
+        texts.append(" ".join(own))
+    wanted |= dict.fromkeys(range(1, 5001), 1)
+    for k in range(5001, 10001):
+        own = [word() for _ in range(120)]
+        at = rng.randrange(120)
+        texts.append(" ".join(own[:at] + passage + own[at:]))
+        wanted[k] = k
+        if k % 250 == 0:
+            texts[-1] = " ".join(texts[-2].split()[:-10])
+            wanted[k] = k - 1
+    found = near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()
+    assert {r.doc_id: r.component_id for r in found} == wanted
+    assert sum(r.kept for r in found) == len(set(wanted.values()))
+
+
 # --- 2, 6, 8 ------------------------------------------------------------------------------------------------
 
 

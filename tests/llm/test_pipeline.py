@@ -41,8 +41,8 @@ def test_stages_follow_their_operators(spark, tmp_path):
             own = {r.doc_id: {tuple(w[i : i + 5]) for w in [r.text.encode().lower().split()] for i in range(max(1, len(w) - 4))} for r in before}
             gone = set(own) - kept
             like = lambda a, b: len(own[a] & own[b]) / len(own[a] | own[b])
-            assert all(any(like(d, k) >= 0.75 for k in own if k < d) for d in gone)
-            assert not [1 for a in kept for b in kept if a < b and like(a, b) >= 0.85]
+            assert all(any(like(d, k) >= 0.8 for k in own if k != d) for d in gone)
+            assert not [1 for a in kept for b in kept if a < b and like(a, b) >= 0.8]
         if name == "decontamination":
             found = {r.doc_id for r in before if any(s and len(s & _shingles(r.text)) >= 0.8 * len(s) for s in items)}
             assert kept == {r.doc_id for r in before} - found
@@ -73,3 +73,16 @@ def test_dedup_keeps_one_row_of_groups_without_ids_of_their_own(spark, tmp_path)
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_keep_columns_whatever_they_are_called(spark):
+    """Columns that clash with names that the stages use, empty tables, null texts and repeated rows."""
+    rows = [(1, "a b c", "x", "k1", "i"), (1, "a b c", "x", "k1", "i"), (2, None, "y", "k2", "i"), (3, "", "y", "k3", "i"), (4, "d " * 5000, "y", "k4", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string, kept string, `id.x` string")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        found = sorted(r.doc_id for r in out.collect())
+        assert found == ([1, 2, 4] if "dedup" in name else [1, 1, 2, 3, 4]), name
+        assert {r.row_key for r in out.collect()} <= {"x", "y"}
