@@ -12,12 +12,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release, store, text_or_empty
+from tessera.llm.common import free_name, release, store, text_or_empty
 from tessera.llm.decontam import drop_contaminated
 from tessera.llm.exact_dedup import exact_duplicates, normalised
+from tessera.llm.near import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import fit_quality, keep_quality
-from tessera.llm.simhash import near_duplicates
 
 #: Up to so many dropped rows are sent to all executors (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_DROPPED = 300_000
@@ -29,16 +29,17 @@ def _without(docs: DataFrame, found: DataFrame, key: F.Column, scope: str) -> Da
     dropped = store(same_key.filter(~F.col("kept") | (F.col("n") > 1)).select("id", "key", "kept"), "dropped", scope)
     if dropped.count() <= BROADCAST_DROPPED:
         dropped = F.broadcast(dropped)
-    names = docs.columns
-    keyed = docs.withColumn("_row_key", key)
-    same = reduce(lambda a, b: a & b, (keyed["doc_id"].eqNullSafe(dropped["id"]), keyed["_row_key"] == dropped["key"]))
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    row_key = free_name(docs, "row_key")
+    keyed = docs.withColumn(row_key, key)
+    same = reduce(lambda a, b: a & b, (keyed["doc_id"].eqNullSafe(dropped["id"]), keyed[row_key] == dropped["key"]))
     rest = keyed.join(dropped, same, "left_anti").select(*names)
     repeated = dropped.filter("kept")
     if repeated.isEmpty():
         return rest
     longest = F.struct(-F.char_length(text_or_empty()), text_or_empty())
-    one = keyed.join(repeated, same, "left_semi").groupBy("doc_id", "_row_key").agg(F.min_by(F.struct(*names), longest).alias("_row"))
-    return rest.union(one.select(*(F.col("_row")[n].alias(n) for n in names)))
+    one = keyed.join(repeated, same, "left_semi").groupBy("doc_id", row_key).agg(F.min_by(F.struct(*names), longest).alias("one_row"))
+    return rest.union(one.select(*(F.col("one_row")[n].alias(n) for n in docs.columns)))
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
