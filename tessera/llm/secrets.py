@@ -30,7 +30,8 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]++|-(?!----))*+)-----END \1-----")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")
+TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+")
+CIPHER = re.compile(r"[A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{32,}")
 WRAPPED = re.compile(r"[A-Za-z0-9+/]{32,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/]+)+={0,2}")
@@ -182,12 +183,25 @@ def _wrapped_keys(text: str, armoured: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def is_signed_token(text: str) -> bool:
-    head, body, _ = text.split(".")
+    """Header with an algorithm, claims, and a signature that decodes; without an algorithm ("none") nothing is signed."""
+    head, body, signature = text.split(".")
     try:
         header, claims = (json.loads(_unbase64(x)) for x in (head, body))
     except (ValueError, RecursionError):
         return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
+    if not (isinstance(header, dict) and isinstance(claims, dict) and isinstance(header.get("alg"), str)):
+        return False
+    return header["alg"].lower() not in ("", "none") and bool(_unbase64(signature))
+
+
+def is_armoured_key(body: str) -> bool:
+    """Whether the lines of a PEM block are a key: its structure, or, as its headers say that it is encrypted, whole cipher blocks."""
+    lines = [x.strip() for x in body.split("\n")]
+    headers = dict(x.split(":", 1) for x in lines if ":" in x)
+    data = _unbase64("".join("".join(x.split()) for x in lines if ":" not in x))
+    if "ENCRYPTED" in headers.get("Proc-Type", ""):
+        return bool(CIPHER.fullmatch(headers.get("DEK-Info", "").strip())) and len(data) >= 16 and len(data) % 8 == 0
+    return is_key(data)
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -204,8 +218,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
             armoured.append(m.span())
-            lines = [x for x in m[2].split("\n") if ":" not in x]
-            if is_key(_unbase64("".join("".join(lines).split()))) or "ENCRYPTED" in m[0]:
+            if is_armoured_key(m[2]):
                 spans.append(("pem", *m.span()))
     if "eyJ" in text:
         spans += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
