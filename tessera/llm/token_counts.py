@@ -11,7 +11,8 @@ how much the count changes by it, as signed bytes (32-bit integers where a chang
 answer budget and truncation questions. Counts may fall from one prefix to the next, as tokens merge.
 
 Nulls: a null text is the empty text with no tokens; a null doc_id is carried. Repeated rows are counted each.
-Whole texts of any length are counted.
+Whole texts of any length are counted. An empty table gives no rows. Only doc_id and text are read, whatever other
+columns are called. A vocabulary file of another kind of splitting is refused.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, text_or_empty
-from tessera.llm.tokens import DEFAULT_VOCABULARY, Cache, byte_letters, vocabulary_path
+from tessera.llm.common import map_arrow, store, text_or_empty
+from tessera.llm.tokens import DEFAULT_VOCABULARY, Cache, byte_letters, splits_by_piece, vocabulary_path
 
 LIMIT = 512
 CAPACITY, PAIRS = 500_000, 600_000
@@ -50,6 +51,8 @@ class Vocabulary:
     def __init__(self, name: str = DEFAULT_VOCABULARY):
         with open(vocabulary_path(name)) as f:
             kind = json.load(f)
+        if not splits_by_piece(kind):
+            raise ValueError(f"{name}: the vocabulary's splitting is not the one that prefixes are counted by")
         byte = {c: b for b, c in enumerate(byte_letters())}
         special = {t["content"] for t in kind["added_tokens"]}
         self.strings = sorted(special, key=len, reverse=True)
@@ -243,8 +246,9 @@ def counter(vocabulary: str = DEFAULT_VOCABULARY) -> PrefixCounter:
     return _COUNTERS[vocabulary]
 
 
-def prefix_index(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, keep: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and, if they are to be kept, the changes by code point with their width in bytes."""
+def prefix_index(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and the changes by code point with their width in bytes, for every row of docs."""
+
     def make():
         count = counter(vocabulary)
 
@@ -255,8 +259,8 @@ def prefix_index(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, keep: bo
                 "doc_id": batch.column(0),
                 "n_bytes": [len(t.encode()) for t in texts],
                 "n_tokens": [int(c.sum(dtype=np.int64)) for c in changes],
-                "width": [c.itemsize if keep else None for c in changes],
-                "changes": [c.tobytes() if keep else None for c in changes],
+                "width": [c.itemsize for c in changes],
+                "changes": [c.tobytes() for c in changes],
             }
 
         return step
@@ -269,6 +273,11 @@ def prefix_counts(width: int, changes: bytes) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.frombuffer(changes, f"<i{width}"), dtype=np.int64)])
 
 
+def _longest(counts: np.ndarray, budget: int) -> int:
+    """The longest prefix of at most so many tokens; a longer one can have fewer than a shorter."""
+    return len(counts) - 1 - int(np.argmax(counts[::-1] <= budget))
+
+
 def truncation_points(index: DataFrame, budgets: list[int]) -> DataFrame:
     """doc_id, budget, n_chars (the longest prefix within the budget) and its n_tokens, for every stored row and budget."""
 
@@ -285,12 +294,30 @@ def truncation_points(index: DataFrame, budgets: list[int]) -> DataFrame:
 def _truncations(batch: pa.RecordBatch, budgets: list[int]) -> Iterator[tuple]:
     for doc, width, changes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         counts = prefix_counts(width, changes)
-        least = np.minimum.accumulate(counts[::-1])[::-1]  # of this and all longer prefixes
         for budget in budgets:
-            at = int(np.searchsorted(least, budget, "right")) - 1
+            at = _longest(counts, budget)
             yield doc, budget, at, int(counts[at])
 
 
+def answers(index: DataFrame, budget: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (more tokens than the budget), and the longest prefix within it, for every stored row."""
+    names = ("doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars", "cut_tokens")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict[str, object]:
+            found = []
+            for doc, size, width, changes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts = prefix_counts(width, changes)
+                at = _longest(counts, budget)
+                found.append((doc, size, int(counts[-1]), bool(counts[-1] > budget), at, int(counts[at])))
+            return dict(zip(names, zip(*found, strict=True), strict=True))
+
+        return step
+
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long, cut_tokens long"
+    return map_arrow(index.select("doc_id", "n_bytes", "width", "changes"), schema, make)
+
+
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
-    index = prefix_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False)
-    return index.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    index = store(prefix_index(spark.read.parquet(f"{sf_dir}/documents.parquet")), "prefix-counts")
+    return answers(index, LIMIT)

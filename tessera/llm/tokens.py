@@ -49,6 +49,13 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def splits_by_piece(kind: dict) -> bool:
+    """Whether a vocabulary file has the splitting that pieces and prefix counts rely on."""
+    before = kind["pre_tokenizer"] or {}
+    by_words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    return kind["model"]["type"] == "BPE" and not kind["normalizer"] and by_words
+
+
 class PieceEncoder:
     """Encodes texts into little-endian ids, as bytes of `code` ('H' or 'I') an id."""
 
@@ -60,9 +67,7 @@ class PieceEncoder:
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         with open(vocabulary_path(vocabulary)) as f:
             kind = json.load(f)
-        before = kind["pre_tokenizer"] or {}
-        #: Whether the splitting is the one that pieces rely on.
-        self.by_piece = kind["model"]["type"] == "BPE" and not kind["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.by_piece = splits_by_piece(kind)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in kind["added_tokens"]) or r"(?!)")
         self.has_special = bool(kind["added_tokens"])
         self.letters = {b: c for b, c in enumerate(byte_letters())}
