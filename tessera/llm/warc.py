@@ -24,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _arrow_schema, new_path, open_fs, store
+from tessera.llm.common import _arrow_schema, new_path, open_fs, steps, store
 
 #: Payloads below so many bytes are never written as revisits.
 LEAST_REVISIT = 1000
+#: Up to so many repeated digests are sent to all executors (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_REPEATED = 200_000
 #: An archive is closed beyond so many bytes; one read spans at most SPAN bytes and skips gaps of up to GAP.
 ARCHIVE, SPAN, GAP = 256 << 20, 8 << 20, 64 << 10
 INDEX = "page_id long, url string, digest string, record_type string, file string, offset long, length long"
@@ -92,14 +94,19 @@ def decode_record(member: bytes) -> dict[str, object]:
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, refers_to: which records are revisits, and of which response."""
+    """page_id, url, html, refers_to: which records are revisits, and of which response. Only digests and ids are grouped; payloads
+    meet the few digests that repeat where they are, unless those are too many to send."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("key", F.when(F.octet_length("html") >= LEAST_REVISIT, F.sha2("html", 256)))
-    groups = rows.filter("key is not null").groupBy("key").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
-    repeated = groups.filter("n > 1 and largest is not null").select("key", "largest")
-    joined = rows.join(repeated, "key", "left")
+    large = F.octet_length("html") >= LEAST_REVISIT
+    key = F.sha2("html", 256)
+    groups = rows.filter(large).select(key.alias("key"), "page_id").groupBy("key").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
+    repeated = store(groups.filter("n > 1 and largest is not null").select("key", "largest"), "warc-repeated")
+    if repeated.count() <= BROADCAST_REPEATED:
+        repeated = F.broadcast(repeated)
+    joined = rows.filter(large).withColumn("key", key).join(repeated, "key", "left")
     revisit = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("largest")).alias("refers_to"))
+    joined = joined.select("page_id", "url", "html", F.when(revisit, F.col("largest")).alias("refers_to"))
+    return joined.union(rows.filter(~large).select("page_id", "url", "html", F.lit(None).cast("long")))
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
@@ -111,7 +118,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         filesystem.create_dir(top, recursive=True)
         task = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         out, name, offset, count = None, "", 0, 0
-        for batch in batches:
+        for batch in steps(batches):
             rows = []
             for page, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if out is None:
