@@ -90,6 +90,30 @@ def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def grouped_rows(rows: DataFrame, by: list[str], schema: str, make) -> DataFrame:
+    """make() gives a step (a task each) to which the rows of a group come, in slices of batches, with whether the group begins.
+    It returns tuples; called with None at the end. A group's rows are never held by Spark, only by the step."""
+    fields = _arrow_schema(rows.sparkSession, schema)
+    width = len(by)
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), fields, strict=True)], schema=fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, last = make(), None
+        for batch in steps(batches):
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found += step(row[:width] != last, row[width:])
+                last = row[:width]
+            if found:
+                yield batch_of(found)
+        if found := step(True, None):
+            yield batch_of(found)
+
+    return rows.mapInArrow(run, schema)
+
+
 def _array(values: object, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

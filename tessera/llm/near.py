@@ -26,8 +26,6 @@ Only the columns doc_id and text are read, whatever others are called. Long text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _arrow_schema, map_arrow, steps, store, text_or_empty
+from tessera.llm.common import grouped_rows, map_arrow, store, text_or_empty
 from tessera.llm.components import components
 from tessera.llm.simhash import fingerprint, search_keys, shingle_hashes
 
@@ -129,30 +127,6 @@ def _with_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(_small(members), "id")
 
 
-def _grouped(rows: DataFrame, by: list[str], schema: str, make) -> DataFrame:
-    """make() gives a step (a task each) to which the rows of a group come, in slices of batches, with whether the group begins.
-    It returns tuples; called with None at the end. A group's rows are never held by Spark, only by the step."""
-    fields = _arrow_schema(rows.sparkSession, schema)
-    width = len(by)
-
-    def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), fields, strict=True)], schema=fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, last = make(), None
-        for batch in steps(batches):
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found += step(row[:width] != last, row[width:])
-                last = row[:width]
-            if found:
-                yield batch_of(found)
-        if found := step(True, None):
-            yield batch_of(found)
-
-    return rows.mapInArrow(run, schema)
-
-
 # --- Stars --------------------------------------------------------------------------------------------------
 
 
@@ -183,7 +157,7 @@ def _stars(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, sc
 
         return step
 
-    return store(_grouped(placed, ["star", "block"], "a long, b long", make), "near-star-links", scope)
+    return store(grouped_rows(placed, ["star", "block"], "a long, b long", make), "near-star-links", scope)
 
 
 def _sizes_allow(a: Column, b: Column, similarity: float) -> Column:
@@ -323,7 +297,7 @@ def _bucket_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
 
         return step
 
-    return store(_grouped(placed, by, "a long, b long", make), "near-bucket-links", scope)
+    return store(grouped_rows(placed, by, "a long, b long", make), "near-bucket-links", scope)
 
 
 # --- Groups -------------------------------------------------------------------------------------------------
