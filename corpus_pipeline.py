@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 A stage's result is to be written as Parquet, and the next stage reads that: a stage deletes the scratch tables of
 the one before it.
+
+All stages alike: null texts are empty texts; null ids, sources and other values are carried; columns of any other
+name, also of names that stages use themselves, are kept as they are; an empty table gives an empty result; long texts
+are whole. Rows of one doc_id (or none) and one text are copies like any others to the dedup stages, which keep one row
+of each group; the other stages treat each row by itself.
 """
 
 from __future__ import annotations
@@ -44,19 +49,20 @@ def _without(docs: DataFrame, found: DataFrame, key: F.Column, scope: str) -> Da
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. Without a model none is rejected."""
-    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "pipeline-quality")
     return docs if model is None else keep_quality(docs, model)
 
 
 def exact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest, then the one of the smallest id."""
+    release(spark, "pipeline-quality")
     found = exact_duplicates(docs, "pipeline-exact")
     found = found.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key"), "kept")
     return _without(docs, found, F.sha2(normalised(text_or_empty()), 256), "pipeline-exact")
 
 
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shingles of five words, similarity of 0.8."""
+    """One document of each group of near duplicates, the one of the smallest id: shingles of five words, similarity of 0.8."""
     release(spark, "pipeline-exact")
     found = near_duplicates(docs, scope="pipeline-near")
     found = found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("key"), "kept")
@@ -66,11 +72,12 @@ def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     release(spark, "pipeline-near")
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scope="pipeline-leaks")
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences."""
+    release(spark, "pipeline-leaks")
     return pack(docs, scope="pipeline-pack")
 
 
@@ -92,5 +99,5 @@ def run(spark, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The classifier and the sketches of near duplicates cannot be expressed in SQL.
+#: The classifier cannot be expressed in SQL, nor can token ids.
 ORACLE_SQL = None
