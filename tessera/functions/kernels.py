@@ -110,6 +110,7 @@ FUNCTIONS = (
     ("delta_create_with", _create, "binary", 4),
     ("delta_apply", delta.apply, "binary", 2),
     ("try_delta_apply", attempt(delta.apply), "struct<result:binary,error:string>", 2),
+    ("try_delta_apply_into", attempt(delta.apply_into), "struct<result:binary,error:string>", 3),
     ("delta_apply_reverse", _reverse, "struct<target:binary,reverse:binary>", 2),
     ("delta_header", _header, HEADER, 1),
     ("try_delta_header", attempt(_header), f"struct<result:{HEADER},error:string>", 1),

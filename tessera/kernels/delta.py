@@ -206,6 +206,14 @@ def apply(reference: bytes, delta: bytes, verify: bool = True) -> bytes:
     return out
 
 
+def apply_into(reference: bytes, delta: bytes, room: int) -> bytes:
+    """The target, if it fits in so many bytes; the size in the header is looked at before anything is decoded."""
+    size = pa19.parse(delta).new_size if delta[:4] == PA19 else parse(delta).header.target_size
+    if size > room:
+        raise malformed(f"target of {size} bytes does not fit in {room}")
+    return apply(reference, delta)
+
+
 # --- Creating -----------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from tessera.kernels.errors import malformed
@@ -142,6 +143,82 @@ def try_parse(data: bytes) -> Image | None:
         return None
 
 
+def parse_lenient(data: bytes) -> Image | None:
+    """What can be told of a damaged or cut image: fields that are not there are zero; None only without both signatures."""
+    found = try_parse(data)
+    if found or len(data) < 0x40 or data[:2] != b"MZ":
+        return found
+    pe = u32(data, 0x3C)
+    if data[pe : pe + 4] != b"PE\0\0":
+        return None
+    optional = pe + 24
+    plus = u16(data, optional) == PE32_PLUS
+    base = (u64 if plus else u32)(data, optional + (24 if plus else 28))
+    return Image(u16(data, pe + 4), u32(data, pe + 8), plus, base, u32(data, optional + 56), u32(data, optional + 64), directories=[(0, 0)] * len(DIRECTORIES))
+
+
+def _name(data: bytes, at: int | None) -> str:
+    return data[at : data.find(b"\0", at)].decode("latin-1") if at is not None and 0 <= at < len(data) else ""
+
+
+def imports(data: bytes, image: Image) -> Iterator[tuple[str, str | None, int | None, int]]:
+    """(library, name, ordinal, address of the thunk) of every imported function."""
+    at, n = image.offset(image.directory(IMPORT)[0]), image.pointer
+    while at is not None and at + 20 <= len(data) and any(data[at : at + 20]):
+        lookup, name, table = u32(data, at), u32(data, at + 12), u32(data, at + 16)
+        place, k = image.offset(lookup or table), 0
+        while place is not None and place + n <= len(data) and (value := int.from_bytes(data[place : place + n], "little")):
+            if value >> (8 * n - 1):
+                yield _name(data, image.offset(name)), None, value & 0xFFFF, table + k
+            else:
+                where = image.offset(value & 0x7FFFFFFF)
+                yield _name(data, image.offset(name)), _name(data, None if where is None else where + 2), None, table + k
+            place, k = place + n, k + n
+        at += 20
+
+
+def exports(data: bytes, image: Image) -> Iterator[tuple[int, str | None, int]]:
+    """(ordinal, name, address) of every exported function."""
+    at = image.offset(image.directory(EXPORT)[0]) if image.directory(EXPORT)[0] else None
+    if at is None or at + 40 > len(data):
+        return
+    base, functions, names = (u32(data, at + o) for o in (16, 20, 24))
+    table, pointers, ordinals = (image.offset(u32(data, at + o)) for o in (28, 32, 36))
+    named = {}
+    if pointers is not None and ordinals is not None:
+        for k in range(min(names, max(0, len(data) - pointers) // 4)):
+            named.setdefault(u16(data, ordinals + 2 * k), _name(data, image.offset(u32(data, pointers + 4 * k))))
+    if table is not None:
+        for k in range(min(functions, max(0, len(data) - table) // 4)):
+            if rva := u32(data, table + 4 * k):
+                yield base + k, named.get(k), rva
+
+
+def resources(data: bytes, image: Image, depth: int = 3) -> Iterator[tuple[str, int, int]]:
+    """(path, address, size) of every resource; the path is of names and numbers. A tree deeper than three levels is cut off."""
+    start = image.offset(image.directory(RESOURCE)[0]) if image.directory(RESOURCE)[0] else None
+
+    def entries(at: int, path: tuple[str, ...]) -> Iterator[tuple[str, int, int]]:
+        for k in range(u16(data, at + 12) + u16(data, at + 14)):
+            place = at + 16 + 8 * k
+            if place + 8 > len(data):
+                return
+            name, to = u32(data, place), u32(data, place + 4)
+            if name >> 31:
+                text = start + (name & 0x7FFFFFFF)
+                label = data[text + 2 : text + 2 + 2 * u16(data, text)].decode("utf-16-le", "replace")
+            else:
+                label = str(name)
+            to_place = start + (to & 0x7FFFFFFF)
+            if to >> 31 and len(path) < depth:
+                yield from entries(to_place, (*path, label))
+            elif not to >> 31 and to_place + 16 <= len(data):
+                yield "/".join((*path, label)), u32(data, to_place), u32(data, to_place + 4)
+
+    if start is not None:
+        yield from entries(start, ())
+
+
 def zero_checksum(data: bytearray) -> None:
     if image := try_parse(data):
         put(data, image.at["checksum"], 0)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tessera.kernels import cli_map, cli_metadata, cli_transform, pe, pe_transform, x64
+from tessera.operators.matching import first_match
 from tessera.session import bounded_batches
 
 
@@ -134,3 +136,60 @@ def metadata_maps(pairs: DataFrame, key: str = "pair_id", source: str = "source"
             yield from ((k, space, s, t) for s, t in entries)
 
     return exploded(pairs, [key, source, target], "pair_id long, space string, source long, target long", rows)
+
+
+def coded_index(raw: Column, kind: str) -> tuple[Column, Column, Column]:
+    """Tag, table (null for an unused tag) and row of coded indexes of a kind."""
+    bits, tables = cli_metadata.CODED[kind]
+    tag = raw.bitwiseAND(F.lit((1 << bits) - 1))
+    known = {n: t for n, t in enumerate(tables) if t is not None}
+    table = F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), tag.cast("int"))
+    return tag, table, F.shiftright(raw, bits)
+
+
+def relocation_pages(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks of relocation entries(rva, kind) by page of 4096: entries, whether padded to four bytes, size, first place in the page, sum of the words."""
+    inside = F.pmod("rva", F.lit(4096))
+    pages = entries.groupBy(*keys, F.floor(F.col("rva") / 4096).alias("page")).agg(F.count("*").alias("entries"), F.min(inside).alias("first"), F.sum(F.col("kind") * 4096 + inside).alias("words"))
+    odd = F.pmod("entries", F.lit(2))
+    return pages.select(*keys, "page", "entries", (odd == 1).alias("padded"), (8 + 2 * (F.col("entries") + odd)).alias("size"), "first", "words")
+
+
+def imports(images: DataFrame, key: str = "image_id", data: str = "content") -> DataFrame:
+    """Every imported function: its library, name or ordinal, and the place of its address."""
+
+    def rows(k, raw):
+        yield from ((k, *r) for r in pe.imports(raw, pe.parse(raw)))
+
+    return exploded(images, [key, data], "image_id long, dll string, name string, ordinal int, rva long", rows)
+
+
+def exports(images: DataFrame, key: str = "image_id", data: str = "content") -> DataFrame:
+    """Every exported function: its ordinal, its name if it has one, and its address."""
+
+    def rows(k, raw):
+        yield from ((k, *r) for r in pe.exports(raw, pe.parse(raw)))
+
+    return exploded(images, [key, data], "image_id long, ordinal long, name string, rva long", rows)
+
+
+def resources(images: DataFrame, key: str = "image_id", data: str = "content") -> DataFrame:
+    """Every resource: its path of three names or numbers, and where its data are."""
+
+    def rows(k, raw):
+        yield from ((k, *r) for r in pe.resources(raw, pe.parse(raw)))
+
+    return exploded(images, [key, data], "image_id long, path string, rva long, size long", rows)
+
+
+def sections_by_name(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, source, target): addresses just before each section of sections(), and of the first of its name in the other image."""
+    found = first_match(source.select(*keys, "name", "va"), target.select(*keys, "name", "va", "ord"), [*keys, "name"], "ord")
+    return found.select(*keys, (F.col("va") - 1).cast("bigint").alias("source"), (F.col("target_va") - 1).cast("bigint").alias("target"))
+
+
+def by_name(source: DataFrame, target: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """(keys, source, target): addresses of imports() or exports() of equal names (the first in the other image)."""
+    a = source.filter(F.col("name").isNotNull()).select(*keys, *names, F.col("rva").alias("source"))
+    b = target.filter(F.col("name").isNotNull()).groupBy(*keys, *names).agg(F.min("rva").alias("target"))
+    return a.join(b, [*keys, *names]).select(*keys, "source", "target")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.kernels import functions
@@ -42,6 +42,13 @@ def try_apply(jobs: DataFrame) -> DataFrame:
     return found.select(*jobs.columns, F.col("_tried.result").alias("result"), F.col("_tried.error").alias("error"))
 
 
+def try_apply_into(jobs: DataFrame, room: Column) -> DataFrame:
+    """try_apply() into buffers of so many bytes: targets that are larger are errors, and are not decoded."""
+    bounded_batches(jobs.sparkSession)
+    found = jobs.withColumn("_tried", functions()["try_delta_apply_into"]("reference", "delta", room))
+    return found.select(*jobs.columns, F.col("_tried.result").alias("result"), F.col("_tried.error").alias("error"))
+
+
 def apply_reverse(jobs: DataFrame) -> DataFrame:
     """jobs with the `result`, and a delta `reverse` back from it."""
     bounded_batches(jobs.sparkSession)

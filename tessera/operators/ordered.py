@@ -66,3 +66,36 @@ def neighbour(df: DataFrame, keys: list[str], order: str, value: str, name: str,
     edges = edges.select(*(F.col(k).alias("_c" + k) for k in keys), F.col("_bucket").alias("_c_bucket"), far.alias("_far"))
     joined = inside.join(edges, _same(inside, edges, [*keys, "_bucket"], "_c"))
     return joined.select(*own, F.coalesce("_near", "_far")["v"].alias(name))
+
+
+def cells_of(low: Column, high: Column) -> Column:
+    """The fewest aligned cells of sizes of powers of two that make up [low, high): structs of level and cell, two a level at most."""
+
+    def at(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        first, stop = F.ceil(low / size).cast("bigint"), F.floor(high / size).cast("bigint")
+        cell = lambda c: F.struct(level.alias("level"), c.alias("cell"))
+        left = F.when((first < stop) & (F.pmod(first, F.lit(2)) == 1), cell(first))
+        right = F.when((first < stop) & (F.pmod(stop, F.lit(2)) == 1), cell(stop - 1))
+        return F.array(left, right)
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
+
+
+#: Cells of up to 2 ** 52 positions: what doubles, in which they are divided, hold exactly.
+LEVELS = 52
+
+
+def in_ranges(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, low: str, high: str, prefix: str = "_r_") -> DataFrame:
+    """Every point with every range of its keys that holds it (high excluded): the ranges' other columns get the prefix.
+
+    A point meets a range in the one cell of the range that holds it, so rows are those that match, and a point is
+    looked up once for each size of cells that there is. Positions are less than 2 ** 52 either way.
+    """
+    others = [c for c in ranges.columns if c not in keys]
+    cut = ranges.filter(F.col(low) < F.col(high)).select(*keys, *(F.col(c).alias(prefix + c) for c in others), F.explode(cells_of(F.col(low), F.col(high))).alias("_cell"))
+    levels = sorted(r[0] for r in cut.select("_cell.level").distinct().collect())  # LEVELS + 1 at most
+    tried = points.select("*", F.explode(F.array(*(F.lit(n) for n in levels)) if levels else F.array().cast("array<int>")).alias("_level"))
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_level"))
+    tried = tried.withColumn("_cell", F.struct(F.col("_level").alias("level"), F.floor(F.col(at) / size).cast("bigint").alias("cell")))
+    return tried.join(cut, [*keys, "_cell"]).drop("_cell", "_level")

@@ -30,6 +30,11 @@ def classified(results: DataFrame) -> DataFrame:
     return results.withColumn("verdict", v).withColumn("detail", F.when(v == "fail", got).when(v == "error", normalised_error(F.col("message"))))
 
 
+def with_cases(results: DataFrame, cases: DataFrame, columns: tuple[str, ...] = ("category",)) -> DataFrame:
+    """Results with columns of their case, by `id`; results of no known case are dropped."""
+    return results.drop(*columns).join(cases.select("id", *columns), "id")
+
+
 def scores(results: DataFrame, by: list[str]) -> DataFrame:
     """passed and total by group, without what was skipped."""
     run = results.filter("verdict <> 'skipped'")
@@ -48,9 +53,9 @@ def buckets(results: DataFrame, order: str, example: str) -> DataFrame:
 
 
 def pivoted(results: DataFrame, case: str) -> DataFrame:
-    """One row a case: its verdicts by dll and direction, as a map."""
-    entry = F.struct(F.concat_ws("/", "dll", "direction").alias("key"), F.col("verdict").alias("value"))
-    return results.groupBy(case).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("verdicts"))
+    """One row a case: its verdicts by dll and direction, as a map. Of several of one key the worst counts: error, fail, pass, skipped."""
+    each = results.groupBy(case, F.concat_ws("/", "dll", "direction").alias("key")).agg(F.min("verdict").alias("value"))
+    return each.groupBy(case).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("verdicts"))
 
 
 def shrink_candidates(inputs: DataFrame, key: str, data: str) -> DataFrame:
@@ -79,13 +84,16 @@ def minimised(inputs: DataFrame, key: str, data: str, fails, rounds: int = 16) -
 
     fails(DataFrame with key and `candidate`) returns the rows that fail. Stops when no input got smaller.
     """
-    current = inputs.select(key, F.col(data))
+    current, held = inputs.select(key, F.col(data)), []
     for _ in range(rounds):
         failing = fails(shrink_candidates(current, key, data)).groupBy(key).agg(F.min_by("candidate", F.octet_length("candidate")).alias("_smaller"))
         following = current.join(failing, key, "left").withColumn("_less", F.col("_smaller").isNotNull())
         following = following.select(key, F.coalesce("_smaller", data).alias(data), "_less").cache()
         changed = not following.filter("_less").isEmpty()
         current = following.drop("_less")
+        held.append(following)
+        if len(held) > 2:
+            held.pop(0).unpersist()  # the last two are what the next round reads
         if not changed:
             break
     return current

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.kernels import rift
-from tessera.operators.ordered import WIDTH, as_of, neighbour
+from tessera.operators.ordered import LEVELS, WIDTH, as_of, in_ranges, neighbour
 
 
 def offsets(entries: DataFrame) -> DataFrame:
@@ -20,21 +20,24 @@ def last_offsets(entries: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lookup(probes: DataFrame, entries: DataFrame, keys: list[str], at: str, rule: str, width: int = WIDTH) -> DataFrame:
-    """probes with the map's `offset` at each position.
+    """lookups() by one rule, as `offset`."""
+    return lookups(probes, entries, keys, at, {"offset": rule}, width)
 
-    rule, for positions before the first source: "zero", "wrapping" (the last entry's offset), or "head" (as if an
-    entry at 0 had the last offset). Without a map the offset is zero.
+
+def lookups(probes: DataFrame, entries: DataFrame, keys: list[str], at: str, rules: dict[str, str], width: int = WIDTH) -> DataFrame:
+    """probes with the map's offset at each position, a column for each rule, from one lookup.
+
+    Rules, for positions before the first source: "zero", "wrapping" (the last entry's offset), or "head" (as if an
+    entry at 0 had the last offset, unless one is there; what is below it wraps). Without a map the offset is zero.
     """
-    breaks = offsets(entries)
-    last = last_offsets(entries, keys)
-    if rule == "head":
-        at_zero = entries.filter("source = 0").select(*keys).distinct()
-        head = last.join(at_zero, keys, "left_anti").select(*keys, F.lit(0).cast("bigint").alias("source"), F.col("last_offset").alias("offset"))
-        breaks = breaks.select(*keys, "source", "offset").unionByName(head)
-    found = as_of(probes, breaks, keys, at, "source", "offset", width)
-    if rule == "zero":
-        return found.withColumn("offset", F.coalesce("offset", F.lit(0)))
-    return found.join(last, keys, "left").withColumn("offset", F.coalesce("offset", "last_offset", F.lit(0))).drop("last_offset")
+    found = as_of(probes, offsets(entries), keys, at, "source", "offset", width)
+    if any(rule != "zero" for rule in rules.values()):
+        found = found.join(last_offsets(entries, keys), keys, "left")
+    else:
+        found = found.withColumn("last_offset", F.lit(None).cast("bigint"))
+    each = {name: F.coalesce("offset", F.lit(0)) if rule == "zero" else F.coalesce("offset", "last_offset", F.lit(0)) for name, rule in rules.items()}
+    own = [c for c in probes.columns if c not in rules]
+    return found.select(*own, *(column.alias(name) for name, column in each.items()))
 
 
 def collapsed(entries: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,6 +46,16 @@ def collapsed(entries: DataFrame, keys: list[str]) -> DataFrame:
     return rows.filter(F.col("_before").isNull() | (F.col("_before") != F.col("offset"))).drop("_before", "offset")
 
 
+def shortened(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """collapsed(), and by wrapping: a map of one entry moves all by it, or is none if it moves nothing; a first entry of the last's offset goes."""
+    rows = offsets(collapsed(entries, keys))
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("source").alias("_first"), F.min_by("offset", "source").alias("_a"), F.max_by("offset", "source").alias("_z"))
+    rows = rows.join(ends, keys)
+    one = F.col("_n") == 1
+    kept = rows.filter(F.when(one, F.col("offset") != 0).otherwise((F.col("source") != F.col("_first")) | (F.col("_a") != F.col("_z"))))
+    return kept.select(*keys, F.when(one, 0).otherwise(F.col("source")).cast("bigint").alias("source"), F.when(one, F.col("offset")).otherwise(F.col("target")).alias("target"))
+
+
 def total(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Both maps' offsets added at the breaks of either; breaks that change nothing go, unless a map is alone."""
     breaks = a.select(*keys, "source").union(b.select(*keys, "source")).distinct()
@@ -60,9 +73,9 @@ def compose(first: DataFrame, then: DataFrame, keys: list[str]) -> DataFrame:
     Below that the map wraps around the 64-bit range, which compose() of the kernels does.
     """
     pieces = neighbour(offsets(first), keys, "source", "source", "_end")
-    inner = then.select(*keys, F.col("source").alias("_break"))
-    inside = (F.col("_break") - F.col("offset") > F.col("source")) & (F.col("_end").isNull() | (F.col("_break") - F.col("offset") < F.col("_end")))
-    cuts = pieces.join(inner, keys).filter(inside).select(*keys, (F.col("_break") - F.col("offset")).alias("source"), "offset")
+    images = pieces.select(*keys, "offset", (F.col("source") + 1 + F.col("offset")).alias("low"), F.coalesce(F.col("_end") + F.col("offset"), F.lit(1 << LEVELS)).alias("high"))
+    cuts = in_ranges(then.select(*keys, F.col("source").alias("_break")), images, keys, "_break", "low", "high")
+    cuts = cuts.select(*keys, (F.col("_break") - F.col("_r_offset")).alias("source"), F.col("_r_offset").alias("offset"))
     places = pieces.select(*keys, "source", "offset").unionByName(cuts).distinct()
     places = places.withColumnRenamed("offset", "_first").withColumn("_image", F.col("source") + F.col("_first"))
     found = lookup(places, then, keys, "_image", "wrapping")
@@ -104,8 +117,21 @@ def per_map(entries: DataFrame, keys: list[str], f, order: str = "ord") -> DataF
 
 
 def reduced(entries: DataFrame, keys: list[str], drop_unset: bool, order: str = "ord") -> DataFrame:
-    """One entry a source by vote, and none that repeats an offset. Votes depend on the order of a source's entries."""
-    return per_map(entries, keys, lambda rows: rift.reduced(rows, drop_unset), order)
+    """One entry a source by vote, then shortened(). Votes depend on the order of a source's entries: a target that differs from the
+    one that leads takes one from its lead, and leads itself once there is none. Entries without a target before the first
+    that has one are dropped, if so asked; others vote as rift.UNSET. A list is one source's entries of one map."""
+    entry = F.struct(F.col(order).alias("o"), F.coalesce("target", F.lit(rift.UNSET)).alias("t"))
+    votes = entries.groupBy(*keys, "source").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["t"]).alias("all"))
+    if drop_unset:
+        first = F.array_position(F.transform("all", lambda t: t != rift.UNSET), True)
+        votes = votes.filter(first > 0).withColumn("all", F.slice("all", first.cast("int"), F.size("all")))
+    state = lambda kept, lead: F.struct(kept.alias("kept"), lead.cast("int").alias("lead"))
+
+    def step(s: Column, t: Column) -> Column:
+        return F.when(s["kept"] == t, state(t, s["lead"] + 1)).when(s["lead"] > 0, state(s["kept"], s["lead"] - 1)).otherwise(state(t, F.lit(1)))
+
+    kept = F.aggregate("all", state(F.element_at("all", 1), F.lit(0)), step)["kept"]
+    return shortened(votes.select(*keys, "source", kept.alias("target")), keys)
 
 
 def inverse(entries: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.kernels import functions
 from tessera.kernels import containers
-from tessera.operators import bytes_ops, chunks, jobs, matching, report, rifts
+from tessera.operators import bytes_ops, cases, chunks, images, jobs, matching, report, rifts
 from tessera.session import bounded_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,10 +214,8 @@ FROM events e ASOF LEFT JOIN a ON a.user_id = e.user_id AND a.source <= e.event_
 )
 def q_rift_map(spark, sf_dir):
     entries = _map(spark, sf_dir, "purchase", 1)
-    found = _table(spark, sf_dir, "events").select("event_id", "user_id")
-    for rule in ("zero", "wrapping", "head"):
-        found = rifts.lookup(found, entries, ["user_id"], "event_id", rule).withColumnRenamed("offset", f"{rule}_rule")
-    return found.drop("user_id")
+    probes = _table(spark, sf_dir, "events").select("event_id", "user_id")
+    return rifts.lookups(probes, entries, ["user_id"], "event_id", {f"{rule}_rule": rule for rule in ("zero", "wrapping", "head")}).drop("user_id")
 
 
 @query(
@@ -261,11 +257,14 @@ def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q_rift_collapse",
-    f"""WITH w AS (SELECT *, target - source AS off, lag(target - source) OVER (PARTITION BY user_id ORDER BY source) AS before FROM ({_COARSE}))
-SELECT user_id, source, target FROM w WHERE before IS NULL OR before <> off""",
+    f"""WITH w AS (SELECT *, target - source AS off, lag(target - source) OVER (PARTITION BY user_id ORDER BY source) AS before FROM ({_COARSE})),
+k AS (SELECT * FROM w WHERE before IS NULL OR before <> off),
+e AS (SELECT user_id, count(*) AS n, min(source) AS lo, arg_min(off, source) AS a, arg_max(off, source) AS z FROM k GROUP BY 1)
+SELECT user_id, CASE WHEN n = 1 THEN 0 ELSE source END AS source, CASE WHEN n = 1 THEN off ELSE target END AS target FROM k JOIN e USING (user_id)
+WHERE CASE WHEN n = 1 THEN off <> 0 ELSE source <> lo OR a <> z END""",
 )
 def q_rift_collapse(spark, sf_dir):
-    return rifts.collapsed(_coarse(spark, sf_dir), ["user_id"])
+    return rifts.shortened(_coarse(spark, sf_dir), ["user_id"])
 
 
 @query("q_rift_vote")
@@ -339,14 +338,16 @@ def q_triplet_fifo(spark, sf_dir):
 
 @query(
     "q_sequence_match",
-    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_custkey, o_orderpriority ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus IN ('F', 'P'))
-SELECT a.o_custkey AS owner, a.o_orderkey AS source, b.o_orderkey AS target FROM o a JOIN o b USING (o_custkey, o_orderpriority, k) WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'P'""",
+    """WITH s AS (SELECT *, min(CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey END) OVER (PARTITION BY o_custkey) AS stop FROM orders WHERE o_orderstatus = 'F'),
+o AS (SELECT o_custkey, o_orderpriority, o_orderkey, o_orderstatus FROM s WHERE stop IS NULL OR o_orderkey < stop UNION ALL SELECT o_custkey, o_orderpriority, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_custkey, o_orderpriority ORDER BY o_orderkey) AS k FROM o)
+SELECT a.o_custkey AS owner, a.o_orderkey AS source, b.o_orderkey AS target FROM n a JOIN n b USING (o_custkey, o_orderpriority, k) WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'P'""",
 )
 def q_sequence_match(spark, sf_dir):
-    """Within each owner, each child in order to the first unused one of its name: numbered by owner and name, these are the same pairs."""
+    """Within each owner, each child in order to the first unused one of its name; a child that is mapped already ends its owner's list."""
     orders = _table(spark, sf_dir, "orders")
-    pairs = matching.fifo(orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus = 'P'"), ["o_custkey", "o_orderpriority"], "o_orderkey")
-    return pairs.join(orders.select(F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("owner")), "source").select("owner", "source", "target")
+    source = orders.filter("o_orderstatus = 'F'").withColumn("mapped", F.pmod("o_orderkey", F.lit(11)) == 0)
+    return matching.by_sequence(source, orders.filter("o_orderstatus = 'P'"), "o_custkey", "o_orderpriority", "o_orderkey")
 
 
 @query(
@@ -383,10 +384,7 @@ SELECT rva // 4096 AS page, count(*) AS entries, count(*) % 2 = 1 AS padded, 8 +
 def q_reloc_pages(spark, sf_dir):
     """Relocation entries grouped into blocks by page, with a block's padding and size."""
     entries = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 37 + F.col("l_suppkey")).cast("bigint").alias("rva"), F.col("l_linenumber").cast("bigint").alias("kind"))
-    inside = F.pmod("rva", F.lit(4096))
-    pages = entries.groupBy(F.floor(F.col("rva") / 4096).alias("page")).agg(F.count("*").alias("entries"), F.min(inside).alias("first"), F.sum(F.col("kind") * 4096 + inside).alias("words"))
-    odd = F.pmod("entries", F.lit(2))
-    return pages.select("page", "entries", (odd == 1).alias("padded"), (8 + 2 * (F.col("entries") + odd)).alias("size"), "first", "words")
+    return images.relocation_pages(entries, [])
 
 
 @query(
@@ -395,13 +393,22 @@ def q_reloc_pages(spark, sf_dir):
 )
 def q_coded_index_split(spark, sf_dir):
     """Coded indexes of the kind MemberRefParent, split into tag, table and row."""
-    from tessera.kernels.cli_metadata import CODED
+    raw = F.col("l_orderkey") * 8 + F.pmod("l_linenumber", F.lit(8))
+    tag, table, rid = images.coded_index(raw, "MemberRefParent")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tag.alias("tag"), rid.alias("rid"), table.alias("to_table"))
 
-    bits, tables = CODED["MemberRefParent"]
-    raw = F.col("l_orderkey") * (1 << bits) + F.pmod("l_linenumber", F.lit(1 << bits))
-    tag = raw.bitwiseAND(F.lit((1 << bits) - 1))
-    table = F.element_at(F.create_map(*(F.lit(x) for pair in enumerate(tables) for x in pair)), tag.cast("int"))
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tag.alias("tag"), F.shiftright(raw, bits).alias("rid"), table.alias("to_table"))
+
+@query(
+    "q_sections_by_name",
+    """WITH s AS (SELECT n_regionkey AS image_id, left(n_name, 1) AS name, n_nationkey AS ord, n_regionkey * 4096 + n_nationkey AS va FROM nation),
+t AS (SELECT (n_regionkey + 1) % 5 AS image_id, left(n_name, 1) AS name, arg_min(n_regionkey * 4096 + n_nationkey, n_nationkey) AS va FROM nation GROUP BY 1, 2)
+SELECT image_id, CAST(s.va - 1 AS BIGINT) AS source, CAST(t.va - 1 AS BIGINT) AS target FROM s JOIN t USING (image_id, name)""",
+)
+def q_sections_by_name(spark, sf_dir):
+    """Regions as images, nations as their sections: each to the first section of its name in the next image."""
+    found = _sections(spark, sf_dir).join(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.left("n_name", F.lit(1)).alias("name"), "n_regionkey"), "ord")
+    source = found.withColumn("image_id", F.col("n_regionkey"))
+    return images.sections_by_name(source, found.withColumn("image_id", F.pmod(F.col("n_regionkey") + 1, F.lit(5))), ["image_id"])
 
 
 # --- Matches ------------------------------------------------------------------------------------------------
@@ -413,20 +420,10 @@ def q_coded_index_split(spark, sf_dir):
 )
 def q_symbol_histogram(spark, sf_dir):
     """How often each byte occurs: counted per batch, then summed."""
-    def run(batches):
-        for batch in batches:
-            data = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8)
-            counts = np.bincount(data, minlength=256)
-            seen = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"symbol": pa.array(seen, pa.int32()), "n": pa.array(counts[seen], pa.int64())})
-
-    bounded_batches(spark, 512)
-    return _texts(spark, sf_dir).select("content").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return matching.byte_histogram(_texts(spark, sf_dir), "content")
 
 
 GRAM = 24
-#: Bytes of reference texts that one block of grams is made of.
-GRAM_BLOCK = 16 << 20
 
 
 @query(
@@ -437,52 +434,30 @@ SELECT doc_id, item_id, count(*) AS shared FROM b JOIN d USING (g) GROUP BY ALL"
 )
 def q_ngram_candidates(spark, sf_dir):
     """Pairs of a document and a benchmark item with the distinct grams that both have: where copies can be found."""
-    bounded_batches(spark, 512)
-    items = _table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GRAM_BLOCK) or 1
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = None
-    for block in range(blocks):
-        held = spark.sparkContext.broadcast([tuple(r) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()])
-
-        def run(batches, held=held):
-            owners: dict[str, set] = {}
-            for item, text in held.value:
-                for i in range(len(text) - GRAM + 1):
-                    owners.setdefault(text[i : i + GRAM], set()).add(item)
-            for batch in batches:
-                rows = []
-                for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    shared: dict[int, int] = {}
-                    for g in {g for i in range(len(text) - GRAM + 1) if (g := text[i : i + GRAM]) in owners}:
-                        for item in owners[g]:
-                            shared[item] = shared.get(item, 0) + 1
-                    rows += [(doc, item, n) for item, n in shared.items()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "shared"])
-
-        pairs = docs.mapInArrow(run, "doc_id long, item_id long, shared long")
-        found = pairs if found is None else found.union(pairs)
-    return found
+    return matching.shared_grams(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), GRAM)
 
 
 # --- Test runs ----------------------------------------------------------------------------------------------
 
-MODES = (("raw", 0), ("bsdiff", 256), ("md5", 32771), ("sha256", 32780))
-
-
 @query(
     "q_case_matrix",
-    "SELECT 'sweep.' || CAST(p_partkey AS VARCHAR) || '.' || mode AS id, 'create_mode_sweep' AS category, flag FROM part CROSS JOIN (VALUES ('raw', 0), ('bsdiff', 256), ('md5', 32771), ('sha256', 32780)) m(mode, flag) "
-    "UNION ALL SELECT 'nation.' || CAST(n_nationkey AS VARCHAR), 'corpus_replay', 0 FROM nation",
+    "SELECT 'part' || CAST(p_partkey AS VARCHAR) || '.' || mode AS id, 'create_mode_sweep' AS category, version, options FROM part "
+    "CROSS JOIN (VALUES ('raw', 'PA30', ''), ('bsdiff', 'PA30', 'bsdiff'), ('md5', 'PA30', 'md5'), ('sha256', 'PA30', 'sha256'), ('pa31', 'PA31', '')) m(mode, version, options)",
 )
 def q_case_matrix(spark, sf_dir):
-    """Every input under every mode, then the fixed cases."""
-    modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(n).alias("flag")) for m, n in MODES)))
-    swept = _table(spark, sf_dir, "part").select("p_partkey", modes.alias("m"))
-    swept = swept.select(F.concat_ws(".", F.lit("sweep"), F.col("p_partkey").cast("string"), "m.mode").alias("id"), F.lit("create_mode_sweep").alias("category"), F.col("m.flag").alias("flag"))
-    fixed = _table(spark, sf_dir, "nation").select(F.concat(F.lit("nation."), F.col("n_nationkey").cast("string")).alias("id"), F.lit("corpus_replay").alias("category"), F.lit(0).alias("flag"))
-    return swept.unionByName(fixed)
+    """Every input under every mode."""
+    return cases.matrix(_table(spark, sf_dir, "part").select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("id"), F.lit("create_mode_sweep").alias("category")))
+
+
+@query(
+    "q_apply_bounded",
+    "SELECT item_id, CASE WHEN strlen(t) <= 300 THEN md5(t) END AS digest, CASE WHEN strlen(t) > 300 THEN 'malformed' END AS error FROM (SELECT item_id, coalesce(text, '') AS t FROM benchmark)",
+)
+def q_apply_bounded(spark, sf_dir):
+    """Deltas of benchmark items applied into buffers of 300 bytes: those that do not fit are errors."""
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.lit(b"").alias("reference"), bytes_ops.utf8(F.coalesce("text", F.lit(""))).alias("target"))
+    tried = jobs.try_apply_into(jobs.create(jobs.spread(items)), F.lit(300))
+    return tried.select("item_id", F.md5("result").alias("digest"), "error")
 
 
 _RESULTS = """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'PASS' WHEN 'O' THEN 'FAIL' WHEN 'P' THEN 'EXC' END AS status, lower(substr(o_orderpriority, 3, 6)) AS dll,
@@ -534,16 +509,32 @@ def q_failure_buckets(spark, sf_dir):
     return found.withColumn("examples", F.array_join("examples", ","))
 
 
+@query(
+    "q_results_with_cases",
+    f"""SELECT id, verdict, c_nationkey AS category FROM ({_CLASSIFIED}) r JOIN orders ON o_orderkey = r.id JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 20""",
+)
+def q_results_with_cases(spark, sf_dir):
+    """Results with the category of their case; some cases are not known."""
+    known = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer").filter("c_nationkey < 20"), F.col("c_custkey") == F.col("o_custkey"))
+    found = report.with_cases(report.classified(_results(spark, sf_dir)), known.select(F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("category")))
+    return found.select("id", "verdict", "category")
+
+
 @query(
     "q_verdict_pivot",
-    f"""SELECT o_custkey, string_agg(k || '=' || CAST(n AS VARCHAR), ',' ORDER BY k) AS verdicts FROM (SELECT o_custkey, dll || '/' || verdict AS k, count(*) AS n
-  FROM ({_CLASSIFIED}) JOIN orders ON o_orderkey = id GROUP BY ALL) GROUP BY 1""",
+    """WITH v AS (SELECT l_orderkey, 'dll' || CAST(l_linenumber AS VARCHAR) || '/' || CASE WHEN l_returnflag = 'N' THEN 'ours_to_native' ELSE 'native_to_ours' END AS k,
+  CASE WHEN l_linestatus = 'O' THEN 'pass' WHEN l_returnflag = 'R' THEN 'fail' ELSE 'error' END AS verdict FROM lineitem), w AS (SELECT l_orderkey, k, min(verdict) AS verdict FROM v GROUP BY 1, 2)
+SELECT l_orderkey, string_agg(k || '=' || verdict, ',' ORDER BY k) AS verdicts FROM w GROUP BY 1""",
 )
 def q_verdict_pivot(spark, sf_dir):
-    rows = report.classified(_results(spark, sf_dir)).join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), "id")
-    counts = rows.groupBy("o_custkey", F.concat_ws("/", "dll", "verdict").alias("k")).agg(F.count("*").cast("string").alias("n"))
-    entries = F.array_sort(F.collect_list(F.struct("k", "n")))
-    return counts.groupBy("o_custkey").agg(F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["k"], e["n"])), ",").alias("verdicts"))
+    """Order lines as results: one row an order, with the verdict of each of its lines."""
+    status = F.when(F.col("l_linestatus") == "O", "PASS").when(F.col("l_returnflag") == "R", "FAIL").otherwise("EXC")
+    rows = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.concat(F.lit("dll"), F.col("l_linenumber").cast("string")).alias("dll"),
+        F.when(F.col("l_returnflag") == "N", "ours_to_native").otherwise("native_to_ours").alias("direction"), report.verdict(status).alias("verdict"),
+    )
+    entries = F.map_entries("verdicts")
+    return report.pivoted(rows, "l_orderkey").select("l_orderkey", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("verdicts"))
 
 
 @query(

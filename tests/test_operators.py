@@ -186,3 +186,80 @@ def test_streamed_jobs(spark, tmp_path):
     assert got == {"a": (target, None), "b": (None, "bad magic")}
 
 
+
+
+def test_ranges_by_cells_and_by_trying(spark, monkeypatch):
+    """Wide, narrow, nested, empty and negative ranges: cells give what trying every range gives."""
+    import random
+
+    from tessera.operators import matching
+    from tessera.operators.ordered import in_ranges
+
+    rng = random.Random(5)
+    spans = [(k, low, low + rng.choice([0, 1, 7, 1000, 10**12])) for k in range(300) for low in [rng.randrange(-5000, 5000)]]
+    places = [(k, rng.randrange(-6000, 8000)) for k in range(500)] + [(500, None)]
+    probes = spark.createDataFrame(places, "id long, at long")
+    ranges = spark.createDataFrame(spans, "ord long, low long, high long")
+    wanted = {(i, min((o for o, a, b in spans if x is not None and a <= x < b), default=None)) for i, x in places}
+    assert {(r.id, r.range and r.range.ord) for r in matching.containing(probes, ranges, "at", "low", "high", "ord").collect()} == wanted
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 1000)
+    assert {(r.id, r.range and r.range.ord) for r in matching.containing(probes, ranges, "at", "low", "high", "ord").collect()} == wanted
+    pairs = in_ranges(probes.filter("at is not null"), ranges, [], "at", "low", "high").collect()
+    assert sorted((r.id, r._r_ord) for r in pairs) == sorted((i, o) for i, x in places if x is not None for o, a, b in spans if a <= x < b)
+
+
+def test_shared_grams_by_parts(spark, monkeypatch):
+    from tessera.operators import matching
+
+    docs = [(1, "abcdefgh abcdefgh"), (2, None), (3, "xxxxx"), (4, "zabcdé😀fgh")]
+    items = [(10, "abcdefg"), (11, ""), (12, "é😀fgh"), (13, "xxxxxxxx")]
+    grams = lambda t, n=4: {t[i : i + n] for i in range(len(t) - n + 1)}
+    wanted = sorted((d, i, len(g)) for d, t in docs for i, u in items if (g := grams(t or "") & grams(u)))
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(r) for r in matching.shared_grams(left, right, 4).collect()) == wanted
+    monkeypatch.setattr(matching, "GRAM_HASHES", 3)
+    assert sorted(tuple(r) for r in matching.shared_grams(left, right, 4).collect()) == wanted
+
+
+def test_image_operators_agree_with_the_kernels(spark):
+    """Relocation blocks, coded indexes, and reduction by vote: expressions against the kernels, with unset entries."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.kernels import cli_metadata, pe_transform, rift
+    from tessera.operators import images, rifts
+
+    rng = random.Random(2)
+    entries = sorted((rng.randrange(20_000), 10) for _ in range(301))
+    rewriter = pe_transform.Rewriter.__new__(pe_transform.Rewriter)
+    rewriter.data = bytearray(4096)
+    rewriter._write_blocks([(r, k, 0) for r, k in entries], 0, 4096)
+    at, blocks = 0, []
+    while size := int.from_bytes(rewriter.data[at + 4 : at + 8], "little"):
+        words = [int.from_bytes(rewriter.data[at + o : at + o + 2], "little") for o in range(8, size, 2)]
+        blocks.append((int.from_bytes(rewriter.data[at : at + 4], "little") // 4096, size, sum(words)))
+        at += size
+    found = images.relocation_pages(spark.createDataFrame(entries, "rva long, kind long"), []).collect()
+    assert sorted((r.page, r.size, r.words) for r in found) == blocks
+    raw = spark.range(200)
+    tag, table, rid = images.coded_index(F.col("id"), "MemberRefParent")
+    for r in raw.select("id", table.alias("t"), rid.alias("r")).collect():
+        if r.t is not None:
+            assert cli_metadata.coded_parts("MemberRefParent", r.id) == (r.t, r.r)
+    rows = [(m, rng.randrange(6), k, rng.choice([None, 3, 3, 4, 9])) for m in range(40) for k in range(rng.randrange(1, 25))]
+    table = spark.createDataFrame(rows, "m long, source long, ord long, target long")
+    for drop in (True, False):
+        wanted = []
+        for m in range(40):
+            own = [(s, rift.UNSET if t is None else t) for _, s, _, t in sorted(r for r in [(q[0], q[1], q[2], q[3]) for q in rows] if r[0] == m)]
+            wanted += [(m, s, t) for s, t in rift.reduced(own, drop)]
+        assert sorted(tuple(r) for r in rifts.reduced(table, ["m"], drop).collect()) == sorted(wanted)
+
+
+def test_results_meet_their_cases(spark):
+    from tessera.operators import report
+
+    results = spark.createDataFrame([("a", "pass"), ("b", "fail"), ("x", "pass")], "id string, verdict string")
+    cases = spark.createDataFrame([("a", "text"), ("b", "random"), ("c", "text")], "id string, category string")
+    assert sorted(tuple(r) for r in report.with_cases(results, cases).collect()) == [("a", "pass", "text"), ("b", "fail", "random")]
