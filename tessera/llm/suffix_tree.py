@@ -1,30 +1,35 @@
 """Language-model scoring with a probabilistic suffix tree over word classes.
 
-A word's class is the longest of its endings that is in a list of frequent ones (the list has at most CLASSES; a
-short word may be there whole, with the space before it). The tree models the sequence of classes, from a begin to
-an end symbol: it has the contexts, of up to DEPTH classes, that are frequent enough (LEAST of all symbols) and whose
-next-class distribution diverges from that of the context's longest proper suffix: count x Kullback-Leibler divergence
-of at least GAIN nats. Distributions are smoothed by interpolation with the suffix's, weighted by the number of
-different symbols seen; the root's are the classes' shares of the additively smoothed word counts. A word is scored by
-its class in the state of the longest suffix that the tree has, and by its share of its class; a word not known has
-half a count in its class. With the root alone this is the unigram model.
+A word's class is the longest of its endings that is in a list of frequent ones (the alphabet, of at most CLASSES; a
+short word may be there whole, with the space before it). The tree models the sequence of classes, from a begin to an
+end symbol. Counted are all contexts, of up to DEPTH classes, that occur FLOOR times, a number that does not change with
+the corpus, so a larger corpus has more of them. A context is retained as a state if its next-class distribution
+diverges from that of its longest proper suffix: count x Kullback-Leibler divergence of at least GAIN nats.
+Distributions are smoothed by interpolation with the suffix's, weighted by the number of different symbols seen; the
+root's are the classes' shares of the additively smoothed word counts. A word is scored by its class in the state of the
+longest suffix that is retained, and by its share of its class; a word not known has half a count in its class. With the
+root alone this is the unigram model.
 
 How it runs: one pass over the documents gives each word a number in its segment (a bounded stretch of one task's
 rows); a segment is stored as one row, its dictionary and its documents as numbers. Dictionaries are summed into one
-row per word, all the training counts. Endings and contexts are counted over all words and segments, level by level; a
-level has at most 1 / LEAST contexts that are frequent enough, so the model is bounded. Words' counts go back to the
-segments that have them, where documents are scored. Nothing that grows with the corpus is broadcast or collected.
+row per word, all the training counts. Endings and contexts are counted over all words and segments, level by level;
+tables of contexts are dealt into parts by their two last symbols, of which one file a part is written to the shared
+folder; a task takes the parts one after another. A part of more than PART_ROWS rows is at most the contexts of one pair
+of symbols, which the alphabet bounds. Words' counts go back to the segments that have them, where documents are
+scored. Nothing that grows with the corpus is broadcast, collected or held by one task.
 
 Nulls: a null text is empty and has the end only; a null doc_id has no fold, so it is neither held out nor trained
 on. Repeated rows count each. With no training rows base_score is null and score is that of a model that knows
-nothing. An empty table gives no rows. Texts are read whole; a document longer than a segment's bound makes a longer
-segment.
+nothing. An empty table gives no rows. Only doc_id and text are read, whatever other columns are called. Texts are read
+whole; a document longer than a segment's bound makes a longer segment.
 """
 
 from __future__ import annotations
 
+import io
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _arrow_schema, map_arrow, steps, store, text_or_empty
+from tessera.llm.common import _arrow_schema, map_arrow, new_path, open_fs, steps, store, text_or_empty, write_file
 
 FOLDS, HELD_OUT = 5, 1
 #: Classes at most, their share of all words, the longest ending in bytes.
 CLASSES, SHARE, ENDING = 250, 1 / 400, 4
-#: Length of contexts in classes; share of all symbols that a context must have; nats that it must gain.
-DEPTH, LEAST, GAIN = 4, 1e-4, 30.0
-SEGMENT_TOKENS, SEGMENT_WORDS = 1_000_000, 250_000
+#: Length of contexts in classes (up to 7); how often a context must occur; nats that a state must gain.
+DEPTH, FLOOR, GAIN = 4, 1000, 30.0
+#: Rows of (context, symbol) in a part of the tree, 16 bytes each.
+PART_ROWS = 4_000_000
+SEGMENT_TOKENS, SEGMENT_WORDS = 2_000_000, 500_000
 END, BEGIN, OTHER = 0, 1, 2  # symbols; endings follow
 SEGMENT = "segment long, docs binary, nulls binary, folds binary, lengths binary, ids binary, words binary, c binary, c_last binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -209,12 +216,63 @@ def _sequences(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
     return data, place
 
 
-def _level_counts(segments: DataFrame, classes: Classes, length: int, frequent: np.ndarray | None) -> DataFrame:
-    """(key, n): how often each symbol follows each frequent context of a length (None: each context); key: context, then symbol."""
-    state = segments.sparkSession.sparkContext.broadcast((classes, frequent))  # at most 1 / LEAST contexts
+def part_of(contexts: np.ndarray, parts: int) -> np.ndarray:
+    """The part that has a context and its longer and shorter ones down to two symbols."""
+    return (contexts & np.uint64(0xFFFF)) % np.uint64(parts)
+
+
+def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    write_file(folder, name, [out.getvalue()])
+
+
+@lru_cache(maxsize=2)
+def _load(folder: str, name: str) -> dict[str, np.ndarray]:
+    """A part's arrays; none if nothing fell into it. Files of a folder never change."""
+    from pyarrow import fs
+
+    filesystem, top = open_fs(folder)
+    if filesystem.get_file_info(f"{top}/{name}").type == fs.FileType.NotFound:
+        return {}
+    with filesystem.open_input_file(f"{top}/{name}") as f, np.load(io.BytesIO(f.read())) as held:
+        return dict(held)
+
+
+def _parts(rows: DataFrame, parts: int, folder: str, make: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> None:
+    """Write make(level, key, n) of the rows(level, key, n) of each part as a file of the folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def done() -> None:
+            level, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            _save(folder, f"{part}.npz", make(level, key.view(np.uint64), n))
+
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            for one in np.unique(numbers).tolist():  # parts come in order
+                use = pa.array(numbers == one)
+                if one != part and held:
+                    done()
+                    held.clear()
+                part = one
+                held.append(tuple(batch.column(k).filter(use).to_numpy() for k in (1, 2, 3)))
+        if held:
+            done()
+        yield from ()
+
+    pair = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    dealt = rows.select((pair % parts).cast("int").alias("part"), F.col("level").cast("int").alias("level"), "key", F.col("n").cast("long").alias("n"))
+    dealt.repartition(max(1, min(parts, 4096)), "part").sortWithinPartitions("part").mapInArrow(run, "done int").count()
+
+
+def _level_counts(segments: DataFrame, classes: Classes, length: int, folder: str | None, parts: int) -> DataFrame:
+    """(key, n): how often each symbol follows each context of a length that the folder's files have (None: each); key: context, then symbol."""
+    state = segments.sparkSession.sparkContext.broadcast(classes)  # of a bounded size
 
     def make():
-        own, contexts = state.value
+        own = state.value
 
         def step(batch: pa.RecordBatch) -> dict[str, object]:
             words = batch.column(0)[0].as_py().split()
@@ -224,10 +282,15 @@ def _level_counts(segments: DataFrame, classes: Classes, length: int, frequent:
             ids = ids[np.repeat(trained, lengths)]
             data, place = _sequences(own.of(words)[ids], lengths[trained])
             context = _packed(data, length)
-            use = place >= length
-            if contexts is not None:
-                use &= _member(contexts, context) >= 0
-            keys, n = np.unique((context[use] << np.uint64(8)) | data[use].astype(np.uint64), return_counts=True)
+            able = place >= length
+            keys, n = np.unique((context[able] << np.uint64(8)) | data[able].astype(np.uint64), return_counts=True)
+            if folder is not None:
+                contexts = keys >> np.uint64(8)
+                use, at = np.zeros(len(keys), bool), part_of(contexts, parts)
+                for part in range(parts):
+                    mine = np.flatnonzero(at == part)
+                    use[mine] = _member(_load(folder, f"{part}.npz").get("key", np.zeros(0, np.uint64)), contexts[mine]) >= 0
+                keys, n = keys[use], n[use]
             return {"key": keys.view(np.int64), "n": n}
 
         return step
@@ -236,74 +299,138 @@ def _level_counts(segments: DataFrame, classes: Classes, length: int, frequent:
     return counts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _distributions(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts, sorted, and the counts of the 256 symbols after each."""
-    keys = rows["key"].to_numpy().astype(np.int64).view(np.uint64)
-    contexts, owner = np.unique(keys >> np.uint64(8), return_inverse=True)
-    counts = np.zeros((len(contexts), 256))
-    np.add.at(counts, (owner, (keys & np.uint64(255)).astype(np.int64)), rows["n"].to_numpy())
-    return contexts, counts
+class SuffixTree:
+    """Distributions of contexts, level by level: a seen symbol has a probability; others share `back` of the suffix's."""
+
+    def __init__(self, shares: np.ndarray):
+        self.shares = shares
+        self.contexts, self.back, self.kept, self.keys, self.p = [], [], [], [], []
+
+    def add(self, keys: np.ndarray, n: np.ndarray, gain: float) -> None:
+        """The next level, from the counts n of context-and-symbol keys."""
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order].astype(np.float64)
+        contexts, first, owner, kinds = np.unique(keys >> np.uint64(8), return_index=True, return_inverse=True, return_counts=True)
+        symbols = (keys & np.uint64(255)).astype(np.int64)
+        size = np.add.reduceat(n, first) if len(n) else np.zeros(0)
+        parent = self.of(len(self.contexts), keys >> np.uint64(8), symbols)
+        p = (n + kinds[owner] * parent) / (size + kinds)[owner]
+        back = kinds / (size + kinds)
+        gained = np.add.reduceat(p * np.log(p / parent), first) if len(n) else np.zeros(0)
+        rest = np.maximum(0, 1 - np.add.reduceat(parent, first)) if len(n) else np.zeros(0)
+        kept = size * (gained + back * rest * np.log(back)) >= gain
+        for held, new in zip((self.contexts, self.back, self.kept, self.keys, self.p), (contexts, back, kept, keys, p), strict=True):
+            held.append(new)
+
+    def of(self, level: int, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Probabilities of symbols after contexts cut to a level that has them."""
+        if level == 0:
+            return self.shares[symbols]
+        contexts = contexts & _mask(level)
+        at = _member(self.keys[level - 1], (contexts << np.uint64(8)) | symbols.astype(np.uint64))
+        found = self.p[level - 1][np.maximum(at, 0)] if len(self.p[level - 1]) else np.zeros(len(at))
+        unseen = np.flatnonzero(at < 0)
+        if len(unseen):
+            own = _member(self.contexts[level - 1], contexts[unseen])
+            found[unseen] = self.back[level - 1][own] * self.of(level - 1, contexts[unseen], symbols[unseen])
+        return found
 
+    def longest(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Probabilities in the states of the longest suffixes that are retained."""
+        found, left = np.zeros(len(contexts)), np.arange(len(contexts))
+        for level in range(len(self.contexts), -1, -1):
+            if level:
+                at = _member(self.contexts[level - 1], contexts[left] & _mask(level))
+                state = (at >= 0) & self.kept[level - 1][np.maximum(at, 0)] if len(self.kept[level - 1]) else np.zeros(len(left), bool)
+            else:
+                state = np.ones(len(left), bool)
+            now = left[state]
+            found[now] = self.of(level, contexts[now], symbols[now])
+            left = left[~state]
+        return found
 
-class SuffixTree:
-    """Contexts by length, sorted, with the number of their state; log10 probabilities of the next symbol by state."""
+    def arrays(self) -> dict[str, np.ndarray]:
+        names = ("contexts", "back", "kept", "keys", "p")
+        return {f"{name}{k}": x for name in names for k, x in enumerate(getattr(self, name))} | {"levels": np.array(len(self.contexts)), "shares": self.shares}
 
-    def __init__(self, contexts: list[np.ndarray], states: list[np.ndarray], table: np.ndarray):
-        self.contexts, self.states, self.table = contexts, states, table
+    @classmethod
+    def from_arrays(cls, held: dict[str, np.ndarray]) -> SuffixTree:
+        tree = cls(held["shares"])
+        for name in ("contexts", "back", "kept", "keys", "p"):
+            setattr(tree, name, [held[f"{name}{k}"] for k in range(int(held["levels"]))])
+        return tree
+
+
+class StoredTree:
+    """A tree in files by part, and its first level, which a part without a file has alone."""
+
+    def __init__(self, folder: str, parts: int, top: SuffixTree):
+        self.folder, self.parts, self.top = folder, parts, top
 
     def score(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of each document's symbols and its end."""
         data, place = _sequences(symbols, lengths)
-        state = np.zeros(len(data), np.int64)
-        context = _packed(data, len(self.contexts))
-        for length, (known, numbers) in enumerate(zip(self.contexts, self.states, strict=True), 1):  # longer ones last
-            able = np.flatnonzero(place >= length)
-            at = _member(known, context[able] & _mask(length))
-            state[able[at >= 0]] = numbers[at[at >= 0]]
-        logp = np.where(place > 0, self.table[state, data], 0.0)
-        ends = np.cumsum(lengths + 2)
-        total = np.cumsum(logp)[ends - 1]
-        return np.diff(total, prepend=0.0)
-
-
-def learn(segments: DataFrame, classes: Classes, shares: np.ndarray, depth: int = DEPTH, least: float = LEAST, gain: float = GAIN) -> SuffixTree:
+        context = _packed(data, DEPTH)
+        for length in range(1, DEPTH):  # what is before the begin belongs to another document
+            short = place == length
+            context[short] &= _mask(length)
+        scored = place > 0
+        keys, inverse = np.unique((context[scored] << np.uint64(8)) | data[scored].astype(np.uint64), return_inverse=True)
+        contexts, following = keys >> np.uint64(8), (keys & np.uint64(255)).astype(np.int64)
+        found, at = np.zeros(len(keys)), part_of(contexts, self.parts)
+        for part in range(self.parts):
+            mine = np.flatnonzero(at == part)
+            if len(mine):
+                held = _load(self.folder, f"{part}.npz")
+                found[mine] = (SuffixTree.from_arrays(held) if held else self.top).longest(contexts[mine], following[mine])
+        with np.errstate(divide="ignore"):
+            logp = np.zeros(len(data))
+            logp[scored] = np.log10(found)[inverse]
+        owner = np.repeat(np.arange(len(lengths)), lengths + 2)
+        return np.bincount(owner, logp, len(lengths)) if len(lengths) else np.zeros(0)
+
+
+def learn(segments: DataFrame, classes: Classes, shares: np.ndarray, scope: str, depth: int = DEPTH, floor: int = FLOOR, gain: float = GAIN) -> StoredTree:
     """The tree of the segments' training documents; shares: the root's probability of each of 256 symbols."""
-    probabilities = {(0, 0): shares}
-    kept: list[dict[int, int]] = []
-    table = [shares]
-    frequent, enough = None, 0.0
-    for length in range(1, depth + 1):
-        # At most 1 / least contexts, each with as many rows as there are classes.
-        contexts, seen = _distributions(_level_counts(segments, classes, length, frequent).toPandas())
-        enough = enough or max(2.0, least * seen.sum())
-        level, longer = {}, []
-        for context, n in zip(contexts.tolist(), seen, strict=True):
-            size, kinds = n.sum(), (n > 0).sum()
-            if size < enough:
-                continue
-            parent = probabilities[length - 1, context & int(_mask(length - 1))]
-            own = probabilities[length, context] = (n + kinds * parent) / (size + kinds)
-            used = own > 0
-            if size * (own[used] * np.log(own[used] / parent[used])).sum() >= gain:
-                level[context] = len(table)
-                table.append(own)
-            # A context and the symbol after it are a context themselves, as often, unless the text ends there.
-            longer += [context << 8 | symbol for symbol in np.flatnonzero(n >= enough).tolist() if symbol != END]
-        kept.append(level)
-        frequent = np.array(sorted(longer), np.uint64)
-        if not longer:
+    spark = segments.sparkSession
+    rows = _level_counts(segments, classes, 1, None, 1).collect()  # at most a row for two symbols of the alphabet
+    keys, n = np.array([r["key"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    top = SuffixTree(shares)
+    sizes = np.bincount((keys >> np.uint64(8)).astype(np.int64), n, 256)
+    use = sizes[(keys >> np.uint64(8)).astype(np.int64)] >= floor
+    top.add(keys[use], n[use], gain)
+    counts, deeper = spark.createDataFrame([(int(k), int(m)) for k, m in zip(keys.view(np.int64), n, strict=True)], "key long, n long"), []
+    for length in range(2, depth + 1):
+        # A context and the symbol after it are a context themselves, as often, unless the text ends there.
+        frequent = counts.filter((F.col("n") >= floor) & (F.col("key").bitwiseAND(F.lit(255)) != END))
+        frequent = store(frequent.select(F.shiftleft("key", 8).alias("key"), "n", F.lit(length).alias("level")), "lm-frequent", scope)
+        many = frequent.count()
+        if not many:
             break
-    contexts = [np.array(sorted(x), np.uint64) for x in kept]
-    states = [np.array([x[c] for c in sorted(x)], np.int64) for x in kept]
-    with np.errstate(divide="ignore"):
-        return SuffixTree(contexts, states, np.log10(np.array(table)))
+        parts, folder = -(-many // PART_ROWS), new_path(spark, "lm-contexts", scope)
+        _parts(frequent, parts, folder, lambda level, key, n: {"key": np.sort(key >> np.uint64(8))})
+        counts = store(_level_counts(segments, classes, length, folder, parts), "lm-counts", scope)
+        deeper.append(counts.withColumn("level", F.lit(length)))
+    folder, parts = new_path(spark, "lm-tree", scope), 1
+    if deeper:
+        every = reduce(DataFrame.unionByName, deeper)
+        parts = -(-every.count() // PART_ROWS) or 1
+
+        def grow(level: np.ndarray, key: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+            tree = SuffixTree.from_arrays(top.arrays())
+            for length in range(2, int(level.max()) + 1):
+                tree.add(key[level == length], n[level == length], gain)
+            return tree.arrays()
+
+        _parts(every, parts, folder, grow)
+    return StoredTree(folder, parts, top)
 
 
 # --- Scoring ------------------------------------------------------------------------------------------------
 
 
 class _Model:
-    def __init__(self, classes: Classes, tree: SuffixTree, mass: np.ndarray, scale: float, ends: int, total: int):
+    def __init__(self, classes: Classes, tree: StoredTree, mass: np.ndarray, scale: float, ends: int, total: int):
         self.classes, self.tree, self.mass, self.scale, self.ends, self.total = classes, tree, mass, scale, ends, total
 
     def rows(self, segment: dict, c: np.ndarray, fields: pa.Schema) -> pa.Table:
@@ -365,7 +492,7 @@ def score_texts(docs: DataFrame, scope: str = "op") -> DataFrame:
     scale = total + 0.5 * (distinct + 1)
     classes = _choose_classes(words, total)
     mass = _class_mass(words, classes, scale, ends)
-    tree = learn(segments, classes, mass / mass.sum())
+    tree = learn(segments, classes, mass / mass.sum(), scope)
     model = spark.sparkContext.broadcast(_Model(classes, tree, mass, scale, ends, total))
     fields = _arrow_schema(spark, OUT)
 

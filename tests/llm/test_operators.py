@@ -600,18 +600,62 @@ def test_lm_scores(docs, empty, monkeypatch):
     assert suffix_tree.score_texts(empty).count() == 0
 
 
-def test_suffix_tree_probabilities_sum_to_one(docs):
+def _brute_tree(sequences, shares, depth, floor, gain):
+    """probability(before, symbol) of a suffix tree over lists of symbols, each ending with 0, by dictionaries."""
+    counts = collections.defaultdict(collections.Counter)
+    for q in sequences:
+        q = [1, *q, 0]
+        for at in range(1, len(q)):
+            for length in range(1, depth + 1):
+                if at >= length:
+                    counts[tuple(q[at - length : at])][q[at]] += 1
+    known = {c: n for c, n in counts.items() if sum(n.values()) >= floor}
+    own = {(): dict(enumerate(shares))}
+    states = {()}
+    for c in sorted(known, key=len):
+        n, parent = known[c], own[c[1:]]
+        size, kinds = sum(n.values()), len(n)
+        own[c] = {s: (n[s] + kinds * p) / (size + kinds) for s, p in parent.items()}
+        if size * sum(p * math.log(p / parent[s]) for s, p in own[c].items() if p) >= gain:
+            states.add(c)
+
+    def probability(before, symbol):
+        before = tuple(before)[-depth:]
+        while before not in states:
+            before = before[1:]
+        return own[before][symbol]
+
+    return probability, states
+
+
+@pytest.mark.parametrize("part_rows", [1 << 20, 40])
+def test_suffix_tree_against_dictionaries(docs, monkeypatch, part_rows):
+    """Every document's score, every state, in one part and in many; distributions sum to one."""
     from tessera.llm import suffix_tree as s
 
+    monkeypatch.setattr(s, "PART_ROWS", part_rows)
     segments = s._segments(docs, "op")
-    classes = s.Classes([(1, ord("a")), (2, int.from_bytes(b"et", "little"))])
-    assert classes.of([b"alpha", b"beta", b"x"]).tolist()[2] == s.OTHER
+    classes = s.Classes([(1, ord("a")), (2, int.from_bytes(b"et", "little")), (1, ord("r")), (1, ord("x"))])
+    assert classes.of([b"alpha", b"beta", b"x1"]).tolist()[2] == s.OTHER
     shares = np.zeros(256)
-    shares[[0, 2, 3, 4]] = 0.25
-    tree = s.learn(segments, classes, shares, least=1e-3, gain=1.0)
-    assert np.allclose((10**tree.table).sum(axis=1), 1) and len(tree.table) > 1
-    score = tree.score(np.array([2, 3, 2], np.uint8), np.array([2, 1, 0]))
-    assert len(score) == 3 and (score < 0).all()
+    shares[[0, 2, 3, 4, 5, 6]] = (0.1, 0.3, 0.2, 0.2, 0.1, 0.1)
+    tree = s.learn(segments, classes, shares, "op", floor=20, gain=3.0)
+    assert (tree.parts > 1) == (part_rows == 40)
+    symbols = lambda t: classes.of((t or "").encode().lower().split()).tolist()
+    train = [symbols(t) for d, t in ROWS if d is not None and zlib.crc32(str(d).encode()) % 5 != 1]
+    probability, states = _brute_tree(train, shares, s.DEPTH, 20, 3.0)
+    assert {len(c) for c in states} >= {0, 1, 2, 3}
+    texts = [symbols(t) for _, t in ROWS] + [[], [6], [5, 5, 5, 5, 5, 5]]
+    got = tree.score(np.array([x for t in texts for x in t], np.uint8), np.array([len(t) for t in texts]))
+    for t, score in zip(texts, got, strict=True):
+        q = [1, *t, 0]
+        assert math.isclose(score, sum(math.log10(probability(q[:at], q[at])) for at in range(1, len(q))), rel_tol=1e-9)
+    for before in [c for c in states if c][:20]:
+        packed = np.uint64(sum(x << 8 * k for k, x in enumerate(reversed(before))))
+        every = np.array([0, 2, 3, 4, 5, 6])
+        held = s._load(tree.folder, f"{int(s.part_of(np.array([packed]), tree.parts)[0])}.npz")
+        own = s.SuffixTree.from_arrays(held) if held else tree.top
+        assert abs(own.longest(np.full(6, packed), every).sum() - 1) < 1e-9
 
 
 # --- 5 ------------------------------------------------------------------------------------------------------
