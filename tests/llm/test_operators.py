@@ -699,8 +699,10 @@ def test_exact_duplicates(spark, empty):
     wanted = []
     for d, t in rows:
         keep = min(groups[norm(t)], key=lambda g: (g[0], g[1], g[2] or 0))[2]
-        wanted.append((d, keep, len(groups[norm(t)]), d == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
-    same_rows([tuple(r) for r in got], wanted)
+        wanted.append((d, keep, len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()))
+    same_rows([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], wanted)
+    kept = [r for r in got if r.kept]
+    assert len(kept) == len({r.text_sha256 for r in kept}) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
     assert exact_duplicates(empty).count() == 0
 
 
@@ -709,6 +711,7 @@ def test_wider_digests_give_the_same(docs):
 
     index = DigestIndex(docs, wide=True)
     index.flush()
+    index.filter()
     index.compact()
     assert index.collisions().isEmpty()
     same_rows([(r.doc_id, r.keep_id) for r in index.resolve().collect()], [(r.doc_id, r.keep_id) for r in exact_duplicates(docs).collect()])
