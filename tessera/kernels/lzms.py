@@ -10,6 +10,8 @@ import math
 from bisect import bisect_right
 from functools import lru_cache
 
+import numpy as np
+
 from tessera.kernels.errors import malformed
 
 MOST = 64 << 20
@@ -374,45 +376,58 @@ def decompress(data: bytes, size: int) -> bytes:
 CHAIN, DELTA_WAYS, LEAST_COPY = 16, 4, 3
 
 
+def _common(data: bytes, a: int, b: int, most: int) -> int:
+    """How many bytes from a on equal those from b on, of at most so many; a is before b."""
+    n, step = 0, 16
+    while n < most:
+        step = min(step, most - n)
+        if data[a + n : a + n + step] == data[b + n : b + n + step]:
+            n, step = n + step, 4 * step
+        elif step <= 16:
+            while data[a + n] == data[b + n]:
+                n += 1
+            return n
+        else:
+            step //= 4
+    return n
+
+
 class _Search:
     """Places of grams, and of differences for delta copies."""
 
     def __init__(self, data: bytes):
         self.data = data
         self.places: dict[bytes, list[int]] = {}
-        self.differences: dict[tuple[int, int, bytes], list[int]] = {}
+        own = np.frombuffer(data, np.uint8)
+        #: For each power, each byte less the one a span before it.
+        self.steps = [(own - np.concatenate([np.zeros(min(1 << p, len(own)), np.uint8), own[: -(1 << p)]])).tobytes() for p in range(8)]
+        self.differences: list[dict[tuple[int, bytes], list[int]]] = [{} for _ in range(8)]
 
     def copy(self, at: int, recent: list[int]) -> tuple[int, int]:
         """(length, offset) of the longest copy."""
-        data, most, best = self.data, len(self.data) - at, (0, 0)
+        data, most, n, offset = self.data, len(self.data) - at, 0, 0
         key = data[at : at + 4]
         held = self.places.setdefault(key, []) if len(key) == 4 else []
         for place in [at - o for o in recent if o <= at] + held[: -CHAIN - 1 : -1]:
-            n = 0
-            while n < most and data[place + n] == data[at + n]:
-                n += 1
-                if data[place + n : place + n + 64] == data[at + n : at + n + 64]:
-                    n += min(64, most - n)
-            if n > best[0]:
-                best = n, at - place
+            if n < most and data[place + n] == data[at + n] and (m := _common(data, place, at, most)) > n:
+                n, offset = m, at - place
         held.append(at)
-        return best
+        return n, offset
 
     def delta(self, at: int) -> tuple[int, int, int]:
         """(length, units, power) of the longest delta copy."""
         data, best = self.data, (0, 0, 0)
-        if at + 3 > len(data):
+        most = len(data) - at
+        if most < 3:
             return best
         for power in range(8):
             span = 1 << power
             if span > at:
                 break
-            key = power, at % span, bytes((data[at + k] - data[at + k - span]) & 255 for k in range(3))
-            held = self.differences.setdefault(key, [])
+            steps = self.steps[power]
+            held = self.differences[power].setdefault((at % span, steps[at : at + 3]), [])
             for place in held[: -DELTA_WAYS - 1 : -1]:
-                n = 0
-                while at + n < len(data) and (data[at + n] - data[at + n - span] - data[place + n] + data[place + n - span]) & 255 == 0:
-                    n += 1
+                n = _common(steps, place, at, most)
                 if n > best[0]:
                     best = n, (at - place) >> power, power
             held.append(at)

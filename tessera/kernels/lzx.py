@@ -282,8 +282,7 @@ class _Finder:
         self.data, self.known, self.table = reference + target, len(reference), table
         self.places: dict[bytes, list[int]] = {}
         stride = 1 if len(reference) <= 1 << 18 else 2
-        for at in range(0, max(0, len(reference) - GRAM + 1), stride):
-            self.add(at)
+        self.add_all(0, max(0, len(reference) - GRAM + 1), stride)
 
     def add(self, at: int) -> None:
         key = self.data[at : at + GRAM]
@@ -296,22 +295,34 @@ class _Finder:
                 if len(held) > 2 * CHAIN:
                     del held[:CHAIN]
 
+    def add_all(self, start: int, stop: int, step: int) -> None:
+        """add() for a range of places."""
+        data, places = self.data, self.places
+        for at in range(start, min(stop, len(data) - GRAM + 1), step):
+            key = data[at : at + GRAM]
+            if key in places:
+                held = places[key]
+                held.append(at)
+                if len(held) > 2 * CHAIN:
+                    del held[:CHAIN]
+            else:
+                places[key] = [at]
+
     def best(self, at: int, recent: list[int]) -> tuple[int, int, int, tuple] | None:
         """(value, length, distance, class) of the best copy at a position."""
         data, most = self.data, len(self.data) - at
         if most < 2:
             return None
         offset, following = self.table.segment(at)
-        found = None
-        tried = set()
+        found, need = None, data[at : at + 2]  # a copy without these first bytes is worth no more than the one found
         candidates = [at + offset, *(at - d for d in recent)]
-        candidates += reversed(self.places.get(data[at : at + GRAM], ())[-CHAIN:])
+        if held := self.places.get(data[at : at + GRAM]):
+            candidates += held[: -CHAIN - 1 : -1]
+        tried = set()
         for place in candidates:
-            if place in tried or not 0 <= place < at:
+            if not 0 <= place < at or data[place : place + len(need)] != need or place in tried:
                 continue
             tried.add(place)
-            if data[place : place + 2] != data[at : at + 2]:
-                continue
             kind = _classify(at - place, offset, recent)
             if kind is None:
                 continue
@@ -322,8 +333,9 @@ class _Finder:
             value = 8 * n - cost - 9
             if n >= 2 and value > 0 and (found is None or value > found[0]):
                 found = value, n, at - place, kind
-                if n >= 2048:
+                if n >= 2048 or (value + 9) // 8 >= most:
                     break
+                need = data[at : at + max(2, (value + 9) // 8 + 1)]
         return found
 
 
@@ -349,8 +361,7 @@ def _parse(reference: bytes, target: bytes, table: rift.OffsetTable) -> Iterator
         _, n, distance, kind = found
         remember(recent, distance)
         yield at, (n, kind)
-        for place in range(at, at + n, 1 if n < LONG else 7):
-            finder.add(place)
+        finder.add_all(at, at + n, 1 if n < LONG else 7)
         at += n
 
 
