@@ -263,3 +263,77 @@ def test_results_meet_their_cases(spark):
     results = spark.createDataFrame([("a", "pass"), ("b", "fail"), ("x", "pass")], "id string, verdict string")
     cases = spark.createDataFrame([("a", "text"), ("b", "random"), ("c", "text")], "id string, category string")
     assert sorted(tuple(r) for r in report.with_cases(results, cases).collect()) == [("a", "pass", "text"), ("b", "fail", "random")]
+
+
+def test_generators_of_all_categories():
+    from tessera.kernels import cases, delta, pe
+
+    assert len(cases.GENERATORS) == 9
+    for category, generator in cases.GENERATORS.items():
+        if category == "corpus_replay":
+            continue
+        made = list(generator(5, 3))
+        assert made == list(generator(5, 3)) and [n for n, *_ in made] == [f"{category}.{i:04}" for i in range(3)]
+        for _, reference, target in made[:2]:
+            if len(reference) < 3000:
+                assert delta.apply(reference, delta.create(reference, target)) == target
+    _, a, b = next(cases.image_pairs(5, 1))
+    assert [s.name for s in pe.parse(a).sections] == [".text", ".data"] and pe.parse(a).machine == pe.AMD64
+    assert delta.apply(a, delta.create(a, b, delta.Options(file_type="auto"))) == b
+    assert pe.parse(next(cases.managed_pairs(5, 1))[1]).managed
+
+
+def test_import_export_and_resource_tables(spark):
+    """Directories laid into an image by hand; damaged ones end the tables and nothing else."""
+    from tessera.kernels import cases, pe
+    from tessera.operators import images
+
+    word = lambda n, size=4: n.to_bytes(size, "little")
+
+    def with_directory(kind, data, at=0x2000):
+        out = bytearray(cases.small_image(b"\x90" * 16, data, 9, plus=False))
+        place = 0x80 + 24 + 96 + 8 * kind
+        out[place : place + 8] = word(at) + word(len(data))
+        return bytes(out)
+
+    imports = word(0x2030) + bytes(8) + word(0x2050) + word(0x2040) + bytes(20)
+    imports = imports.ljust(0x30, b"\0") + word(0x2060) + word(0x80000007) + bytes(8) + bytes(16) + b"\0" * 0
+    imports = imports.ljust(0x50, b"\0") + b"lib.dll\0".ljust(16, b"\0") + b"\0\0open\0"
+    exports = (bytes(16) + word(5) + word(2) + word(1) + word(0x2030) + word(0x2040) + word(0x2044)).ljust(0x30, b"\0") + word(0x1000) + word(0x1008)
+    exports = exports.ljust(0x40, b"\0") + word(0x2050) + word(1, 2) + bytes(10) + b"run\0"
+    tree = lambda name, to: bytes(12) + word(0, 2) + word(1, 2) + word(name) + word(to)
+    resources = tree(16, 0x80000018) + tree(3, 0x80000030) + tree(1033, 0x48) + word(0x2100) + word(77) + bytes(8)
+    rows = [(1, with_directory(pe.IMPORT, imports)), (2, with_directory(pe.EXPORT, exports)), (3, with_directory(pe.RESOURCE, resources)), (4, with_directory(pe.IMPORT, b"\1" * 30, 0x7FFFFF00)), (5, b"MZ")]
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "image_id long, content binary")
+    assert {(r.dll, r.name, r.ordinal, r.rva) for r in images.imports(df).collect()} == {("lib.dll", "open", None, 0x2040), ("lib.dll", None, 7, 0x2044)}
+    assert {tuple(r) for r in images.exports(df).collect()} == {(2, 5, None, 0x1000), (2, 6, "run", 0x1008)}
+    assert [tuple(r) for r in images.resources(df).collect()] == [(3, "16/3/1033", 0x2100, 77)]
+    moved = images.imports(df).withColumn("rva", F.col("rva") + 64)
+    assert [tuple(r) for r in images.by_name(images.imports(df), moved, ["image_id"], ["dll", "name"]).collect()] == [(1, 0x2040, 0x2080)]
+    cut = cases.small_image(b"", b"", 9)[: 0x80 + 24 + 60]
+    assert pe.try_parse(cut) is None and pe.parse_lenient(cut).machine == pe.AMD64 and pe.parse_lenient(b"MZ") is None
+
+
+def test_cli_suites_reports_and_files(spark, tmp_path):
+    from tessera import cli
+    from tessera.sources.files import cached_base, write_files
+
+    go = lambda *a: cli.run(cli.parser().parse_args([str(x) for x in a]), spark)
+    go("gen", 3, tmp_path / "suite", "--count", 2)
+    names = {r.id for r in read_jobs(spark, str(tmp_path / "suite/job")).collect()}
+    assert {"text.0001", "pe_pair.0000", "corpus.text"} <= names and len(list((tmp_path / "suite/files").iterdir())) > 10
+    verdicts = [{"id": "text.0000", "ours_to_ours": {"status": "PASS"}}, {"id": "text.0001", "ours_to_ours": {"status": "EXC", "message": "bad"}}, {"id": "unknown", "ours_to_ours": {"status": "PASS"}}]
+    (tmp_path / "results").mkdir()
+    import json
+
+    (tmp_path / "results/r.json").write_text(json.dumps({"dll": "x", "domain": "d", "seed": 3, "results": verdicts}))
+    go("report", tmp_path / "results", tmp_path / "score", "--cases", tmp_path / "suite/job")
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "score")).collect()] == [("x", "ours_to_ours", "text", 1, 2)]
+    go("report", tmp_path / "results", tmp_path / "buckets", "--by", "buckets")
+    assert spark.read.parquet(str(tmp_path / "buckets")).first().signature == "ours_to_ours|x||ERROR bad"
+    rows = spark.createDataFrame([("a/b.bin", bytearray(b"xy")), ("c", None)], "path string, content binary")
+    assert [(r.name, r.size) for r in write_files(rows, str(tmp_path / "out")).collect()] == [("b.bin", 2)] and (tmp_path / "out/b.bin").read_bytes() == b"xy"
+    assert cached_base(spark, str(tmp_path / "cache"), b"base one") == cached_base(spark, str(tmp_path / "cache")) == b"base one"
+    cached_base(spark, str(tmp_path / "cache"), b"base two")
+    with pytest.raises(ValueError, match="several"):
+        cached_base(spark, str(tmp_path / "cache"))
