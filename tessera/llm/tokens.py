@@ -14,6 +14,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+from tessera.llm.common import give_back
+
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: White space that takes in a space on either side of which the split depends on the neighbours.
 LINKED = re.compile(r"\s (?:\s|\Z)")
@@ -78,6 +80,7 @@ class PieceEncoder:
         """Give the caches' memory back, at the end of a task: the next one sees other texts, and the worker may wait for long."""
         self.words.clear()
         self.pieces.clear()
+        give_back()
 
     def _library(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
