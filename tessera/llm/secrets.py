@@ -4,10 +4,13 @@ Plain patterns give assignments, access key ids and hex runs (in lower case). Be
 runs in either case, PEM blocks and dotted tokens are decoded from their start and from every place where a key could begin, and
 reported only if the bytes have the structure of a key: DER whose nested lengths
 add up and whose members are those of PKCS#1, PKCS#8, SEC1 or SPKI; SSH blobs whose length prefixes add up; a
-signed token whose header is a JSON object with an algorithm and whose payload is a JSON object.
+signed token whose header is a JSON object with an algorithm, whose payload is a JSON object and whose signature decodes.
+Legacy PEM blocks that say they are encrypted hold no structure: their headers must name a cipher with its start vector, and
+the bytes must be whole cipher blocks.
 
 Nulls: a null text is the empty text, with no spans; a null doc_id is carried. Repeated rows are scanned each.
-Spans are code points, end exclusive, in whole texts of any length. Overlapping spans of different kinds all stay.
+Spans are code points, end exclusive, in whole texts of any length. Overlapping spans of different kinds all stay. An
+empty table gives no rows. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations

@@ -2,7 +2,9 @@
 
 A shard file holds the raw ids of its documents one after another, the keys in that order, and an index: a
 minimal perfect hash gives each key a slot, and a slot has a fingerprint of its key, the offset of its ids and
-their number. A lookup takes a few probes whatever the number of documents, and reads only the ids asked for.
+their number. A lookup reads one word of bits a level (two levels on average), a rank and a slot, whatever the number of
+documents, and the ids asked for. The manifest has each shard's range of keys, so a lookup over a set of shards opens one
+(more only for a key whose rows fill several).
 
     magic | ids | keys: doc_id int64, is_null uint8, occurrence uint32 | bits and ranks | slots | footer | its length | magic
 
@@ -19,7 +21,9 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,8 @@ MAGIC = b"TESSTOK1"
 SHARD_BYTES, SHARD_DOCS = 128 << 20, 1 << 20
 READ_BYTES = 8 << 20
 LOAD = 2.0
-MANIFEST = "part int, shard int, file string, n_docs long, n_tokens long"
+SLOT = np.dtype([("fingerprint", "<u4"), ("offset", "<i8"), ("length", "<i8")])
+MANIFEST = "part int, shard int, file string, n_docs long, n_tokens long, first_id long, last_id long, nulls long"
 DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -107,13 +112,14 @@ class ShardWriter:
         self.lengths.append(len(ids) // (2 if self.code == "H" else 4))
         self.bytes += len(ids)
 
-    def close(self) -> tuple[int, int]:
+    def close(self) -> tuple[int, int, int | None, int | None, int]:
+        """Documents, tokens, the least and the greatest key, and how many keys are null."""
         ids, nulls, seen = np.array(self.ids, "<i8"), np.array(self.nulls, "u1"), np.array(self.seen, "<u4")
         lengths = np.array(self.lengths, "<i8")
         keys = key_hash(ids, nulls, seen)
         index = PerfectHash.build(keys)
         slots = index.slots(keys)
-        table = np.zeros(len(keys), [("fingerprint", "<u4"), ("offset", "<i8"), ("length", "<i8")])
+        table = np.zeros(len(keys), SLOT)
         table["fingerprint"][slots] = fingerprint(keys)
         table["offset"][slots] = np.cumsum(lengths) - lengths
         table["length"][slots] = lengths
@@ -125,7 +131,9 @@ class ShardWriter:
         footer = json.dumps({"code": self.code, "sizes": index.sizes, "sections": sections}).encode()
         self.out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
         self.out.close()
-        return len(keys), int(lengths.sum())
+        own = ids[nulls == 0]
+        least, most = (int(own[0]), int(own[-1])) if len(own) else (None, None)  # documents come in order
+        return len(keys), int(lengths.sum()), least, most, int(nulls.sum())
 
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:
@@ -146,10 +154,31 @@ class Shard:
         footer = json.loads(self.file.read_at(length, size - 16 - length))
         self.dtype = "<u2" if footer["code"] == "H" else "<u4"
         self.width = int(self.dtype[2])
-        part = lambda name, kind: np.frombuffer(self.file.read_at(footer["sections"][name][1], footer["sections"][name][0]), kind)
-        self.ids, self.nulls, self.seen = part("ids", "<i8"), part("nulls", "u1"), part("seen", "<u4")
-        self.index = PerfectHash(footer["sizes"], part("bits", "u1"), part("ranks", "<u4"))
-        self.table = part("table", [("fingerprint", "<u4"), ("offset", "<i8"), ("length", "<i8")])
+        self.sections, self.sizes = footer["sections"], footer["sizes"]
+
+    def _part(self, name: str, kind) -> np.ndarray:
+        at, size = self.sections[name]
+        return np.frombuffer(self.file.read_at(size, at), kind)
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        return self._part("ids", "<i8")
+
+    @cached_property
+    def nulls(self) -> np.ndarray:
+        return self._part("nulls", "u1")
+
+    @cached_property
+    def seen(self) -> np.ndarray:
+        return self._part("seen", "<u4")
+
+    @cached_property
+    def index(self) -> PerfectHash:
+        return PerfectHash(self.sizes, self._part("bits", "u1"), self._part("ranks", "<u4"))
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        return self._part("table", SLOT)
 
     def find(self, ids: np.ndarray, nulls: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offset and length of each key's ids; length -1 for keys that the shard does not have."""
@@ -164,9 +193,41 @@ class Shard:
         return np.frombuffer(self.file.read_at(length * self.width, len(MAGIC) + offset * self.width), self.dtype)
 
     def get(self, doc_id: int | None, occurrence: int = 0) -> np.ndarray | None:
-        """Ids of one document, or None."""
-        offset, length = self.find(np.array([doc_id or 0], "<i8"), np.array([doc_id is None], "u1"), np.array([occurrence], "<u4"))
-        return None if length[0] < 0 else self.read(int(offset[0]), int(length[0]))
+        """Ids of one document, or None. Reads what it probes, not the index."""
+        key = key_hash(np.array([doc_id or 0], "<i8"), np.array([doc_id is None], "u1"), np.array([occurrence], "<u4"))
+        start = 0
+        for level, size in enumerate(self.sizes):
+            with np.errstate(over="ignore"):
+                place = int(mix(key, 3 + level)[0] % np.uint64(size)) + start
+            start += size
+            word = int.from_bytes(self.file.read_at(8, self.sections["bits"][0] + 8 * (place >> 6)), "little")
+            if word >> (place & 63) & 1:
+                rank = int.from_bytes(self.file.read_at(4, self.sections["ranks"][0] + 4 * (place >> 6)), "little")
+                slot = rank + (word & ((1 << (place & 63)) - 1)).bit_count()
+                row = np.frombuffer(self.file.read_at(SLOT.itemsize, self.sections["table"][0] + SLOT.itemsize * slot), SLOT)[0]
+                return self.read(int(row["offset"]), int(row["length"])) if row["fingerprint"] == fingerprint(key)[0] else None
+        return None
+
+
+class ShardSet:
+    """Keyed access over the shards of a manifest: its rows, one a shard, tell which shards can have a key."""
+
+    def __init__(self, manifest: DataFrame, folder: str):
+        rows = manifest.select("file", "first_id", "last_id", "nulls").orderBy("part", "shard").collect()
+        self.filesystem, self.top = open_fs(folder)
+        self.null_files = [r["file"] for r in rows if r["nulls"]]
+        ranged = [r for r in rows if r["first_id"] is not None]
+        self.files, self.first, self.last = ([r[k] for r in ranged] for k in ("file", "first_id", "last_id"))
+        self.open: dict[str, Shard] = {}
+
+    def get(self, doc_id: int | None, occurrence: int = 0) -> np.ndarray | None:
+        files = self.null_files if doc_id is None else self.files[bisect_left(self.last, doc_id) : bisect_right(self.first, doc_id)]
+        for file in files:
+            if file not in self.open:
+                self.open[file] = Shard(self.filesystem, f"{self.top}/{file}")
+            if (found := self.open[file].get(doc_id, occurrence)) is not None:
+                return found
+        return None
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str = DEFAULT_VOCABULARY, end_id: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ into one read, and parse the members out of it.
 Nulls: null html is an empty payload, a null url an empty target URI; a null page_id is written without its
 header and comes back null. A null id never becomes the response of a group that has another id. Rows with the
 same page_id and payload are all responses if that id is the group's largest. An empty table gives no archive
-and an empty result. A payload of any size is one record.
+and an empty result. A payload of any size is one record. Only page_id, url and html are read, whatever other columns are called.
 """
 
 from __future__ import annotations

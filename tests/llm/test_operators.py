@@ -272,7 +272,7 @@ def _crc(ids):
 
 def test_token_files(docs, empty, spark, library):
     from tessera.llm.common import new_path, open_fs
-    from tessera.llm.token_files import Shard, read_shards, write_shards
+    from tessera.llm.token_files import Shard, ShardSet, read_shards, write_shards
 
     folder = new_path(spark, "t")
     manifest = write_shards(docs, folder)
@@ -290,6 +290,10 @@ def test_token_files(docs, empty, spark, library):
         found = [x for s in shards if (x := s.get(d)) is not None]
         assert len(found) == 1 and found[0].tolist() == ids
     assert all(s.get(987654) is None and s.get(110, 5) is None for s in shards)
+    held = ShardSet(manifest, folder)
+    assert all(held.get(d).tolist() == ids for d, ids in _ids(library)) and held.get(110, 1) is not None
+    assert held.get(987654) is held.get(-1) is held.get(110, 5) is held.get(None, 1) is None
+    assert [(r.first_id, r.nulls) for r in manifest.orderBy("part", "shard").collect()][0][1] == 1
     assert read_shards(write_shards(empty, new_path(spark, "t")), folder).count() == 0
 
 
