@@ -12,9 +12,10 @@ classes of hashes: a pair at 0.8 shares none with probability 0.2 ** 8. All node
 2. Buckets of a least hash whose nodes are not all connected then are compared wholly, but for pairs connected already.
    Up to BLOCK_ROWS nodes meet in one place. Larger buckets are split by further least hashes, BANDS keys of BAND_ROWS
    of them (a pair at 0.8 shares none with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, three in a million), again and
-   again while that gives fewer rows: unlike texts that share a passage part at once. What is not split so (a large
-   group of copies, with texts close to it but not of it) is compared in blocks: the nodes outside the bucket's largest
-   connected part visit all blocks of the bucket. No bucket is capped and no pair of a bucket is passed over.
+   again while that gives fewer rows: unlike texts that share a passage part at once. Others are compared in blocks: the
+   nodes outside the bucket's largest connected part visit all blocks of the bucket. Where those nodes fit into one place
+   (a large group of copies, with texts close to it but not of it) this is at most twice the bucket's rows, so it is not
+   split. No bucket is capped and no pair of a bucket is passed over.
 
 Every comparison is of whole sets, exact; only pairs whose sizes or shared shingles cannot reach the similarity are
 left out.
@@ -41,7 +42,7 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Classes of shingle hashes whose least are keys.
 CLASSES = 8
 #: Further least hashes: keys of a node and hashes to a key.
-BANDS, BAND_ROWS = 32, 5
+BANDS, BAND_ROWS = 18, 3
 #: Nodes and bytes of sets that meet in one place.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 32 << 20
 #: Up to so many rows that say which texts are needed are sent to all executors (at most 50 bytes each); more are joined by a shuffle.
@@ -178,13 +179,14 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return sizes.filter("other > 0 and m > 2").select("key", "m", "other", "main", blocks.alias("blocks"), chunks.alias("chunks"))
 
 
-#: Rows that meet if the nodes outside the largest part visit all blocks.
+#: Rows that meet if the nodes outside the largest part visit all blocks; buckets for which that can be more than twice their rows.
 _WORK = "if(blocks = 1, m, m * chunks + other * blocks)"
+_SPLIT = "blocks > 1 and chunks > 1"
 
 
 def _split(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, level: int, scope: str) -> tuple[DataFrame, DataFrame]:
-    """rows and _mixed sizes of the buckets of more than one block that further hashes split to less work, and the keys of those."""
-    large = store(rows.join(sizes.filter("blocks > 1").select("key"), "key", "left_semi"), "near-large", scope)
+    """(key, id, n, label) of the parts, by further hashes, of the buckets that these split to less work, and the keys of those buckets."""
+    large = store(rows.join(sizes.filter(_SPLIT).select("key"), "key", "left_semi"), "near-large", scope)
     wanted = _small(large.select("id").distinct())
 
     def make():
@@ -196,7 +198,7 @@ def _split(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, leve
     found = store(_mixed(fine.select("key", "id", "n", "label")), "near-fine-sizes", scope)
     owners = fine.groupBy("key").agg(F.first("whole").alias("whole"))
     work = found.join(owners, "key").groupBy("whole").agg(F.sum(F.expr(_WORK)).alias("work"))
-    better = sizes.filter("blocks > 1").join(work, F.col("key") == F.col("whole"), "left").filter(F.coalesce("work", F.lit(0)) < F.expr(_WORK)).select("key")
+    better = sizes.filter(_SPLIT).join(work, F.col("key") == F.col("whole"), "left").filter(F.coalesce("work", F.lit(0)) < F.expr(_WORK)).select("key")
     better = store(better, "near-better", scope)
     kept = fine.join(better.select(F.col("key").alias("whole")), "whole", "left_semi").select("key", "id", "n", "label")
     kept = store(kept.join(found.select("key"), "key", "left_semi"), "near-kept", scope)
@@ -210,8 +212,7 @@ def _meetings(nodes: DataFrame, texts: DataFrame, width: int, scope: str) -> Dat
     rows = store(rows.join(sizes.select("key"), "key", "left_semi"), "near-rows-mixed", scope)
     found, level = [], 0
     while True:
-        large = sizes.filter("blocks > 1")
-        if large.isEmpty():
+        if sizes.filter(_SPLIT).isEmpty():
             found.append((rows, sizes))
             break
         fine, better = _split(rows, sizes, texts, width, level, scope)

@@ -307,9 +307,14 @@ def answers(index: DataFrame, budget: int) -> DataFrame:
         def step(batch: pa.RecordBatch) -> dict[str, object]:
             found = []
             for doc, size, width, changes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = prefix_counts(width, changes)
-                at = _longest(counts, budget)
-                found.append((doc, size, int(counts[-1]), bool(counts[-1] > budget), at, int(counts[at])))
+                own = np.frombuffer(changes, f"<i{width}")
+                total = at_tokens = int(own.sum(dtype=np.int64))
+                at = len(own)
+                if total > budget:
+                    counts = prefix_counts(width, changes)
+                    at = _longest(counts, budget)
+                    at_tokens = int(counts[at])
+                found.append((doc, size, total, total > budget, at, at_tokens))
             return dict(zip(names, zip(*found, strict=True), strict=True))
 
         return step

@@ -418,7 +418,7 @@ def test_packing_of_more_sources_than_tokens_in_a_window(spark, library):
 
 
 def test_prefix_counts(docs, empty, library):
-    from tessera.llm.token_counts import PrefixCounter, prefix_counts, prefix_index, truncation_points
+    from tessera.llm.token_counts import PrefixCounter, answers, prefix_counts, prefix_index, truncation_points
 
     count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
     c = PrefixCounter(capacity=40)
@@ -433,6 +433,11 @@ def test_prefix_counts(docs, empty, library):
         text = texts[r.doc_id]
         best = max(k for k in range(len(text) + 1) if count(text[:k]) <= r.budget)
         assert (r.n_chars, r.n_tokens) == (best, count(text[:best]))
+    for budget in (0, 5, 10**9):
+        cut = {(r.doc_id, r.n_bytes, r.cut_chars, r.cut_tokens) for r in answers(index, budget).collect()}
+        want = {(r.doc_id, r.n_chars, r.n_tokens) for r in truncation_points(index, [budget]).collect()}
+        assert {(d, c, n) for d, _, c, n in cut} == want
+    assert all(r.over_limit == (r.n_tokens > 5) and r.cut_tokens <= 5 for r in answers(index, 5).collect())
     assert prefix_index(empty).count() == 0
     assert len(prefix_counts(1, b"\1\0\1")) == 4
 
