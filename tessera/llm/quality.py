@@ -11,8 +11,8 @@ language. A text of any length is read whole; an empty or null text has features
 and a score like any other.
 
 Fitting covers every row outside the held-out fold as unlabelled: their features are stored once, and each step of
-Newton's method sums slopes and curvatures over all of them on the executors, down a tree. A step that would make the
-unlabelled risk less the positives' share negative is halved until it is not. Trusted positives are a bounded sample,
+Newton's method sums slopes and curvatures over all of them on the executors, down a tree. Where the unlabelled
+risk less the positives' share is negative it counts as nothing, and the descent ends. Trusted positives are a bounded sample,
 the POSITIVES labelled ids that come first in the order of a hash, one row an id. Nulls: a null doc_id is never used
 for fitting and is scored; a null quality is no label. If there are no positives, or no other documents, every score
 is 0.5, which rejects nothing by itself but is below the threshold of the query. Repeated rows are scored each, and
@@ -186,8 +186,8 @@ def _newton(p: np.ndarray, unlabelled: Unlabelled, prior: float | None, half: in
     """Weights, the bias last. Without a prior: logistic regression of positive against unlabelled, as heavy.
 
     With one, prior * (l(f) - l(-f)) over positives is -prior * f for the logistic loss, so the risk is the unlabelled
-    rows' loss less a linear term, and its curvature is theirs. A step that makes the unlabelled rows' loss less the
-    positives' share of it negative is halved until it does not, so the descent ends at that bound at the latest.
+    rows' loss less a linear term, and its curvature is theirs. The unlabelled rows' loss less the positives' share of it
+    counts as nothing where it is negative; the descent ends with the first step that goes there, and halves steps that gain nothing.
     """
     size = N_FEATURES + 1
     p1 = _with_one(p)
@@ -214,14 +214,16 @@ def _newton(p: np.ndarray, unlabelled: Unlabelled, prior: float | None, half: in
             curve = 0.5 * (curve + p1.T @ (p1 * (up * (1 - up))[:, None]) / len(p))
         else:
             rest = loss_u - prior * np.logaddexp(0, fp).mean()
-            loss = prior * np.logaddexp(0, -fp).mean() + rest
+            loss = prior * np.logaddexp(0, -fp).mean() + max(0.0, rest)
             slope = slope - prior * p1.mean(axis=0)
         loss += (decay * w * w).sum() / 2
-        if rest < 0 or loss > best + 1e-9:
+        if loss > best + 1e-9:
             step = step / 2
             w = last + step
             continue
         best, last = loss, w
+        if rest < 0:
+            break
         step = -np.linalg.solve(curve + np.diag(decay + 1e-6), slope + decay * w)
         if np.abs(step).max() < 1e-3:
             break
