@@ -12,7 +12,8 @@ classes of hashes: a pair at 0.8 shares none with probability 0.2 ** 8. All node
 2. Buckets of a least hash whose nodes are not all connected then are compared wholly, but for pairs connected already.
    Up to BLOCK_ROWS nodes meet in one place. Larger buckets are split by further least hashes, BANDS keys of BAND_ROWS
    of them (a pair at 0.8 shares none with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, three in a million), again and
-   again while that gives fewer rows: unlike texts that share a passage part at once. Others are compared in blocks: the
+   again while that gives fewer rows: unlike texts that share a passage part at once. A node has these keys once, however
+   many of the buckets it is in, so they are at most BANDS rows a node. Others are compared in blocks: the
    nodes outside the bucket's largest connected part visit all blocks of the bucket. Where those nodes fit into one place
    (a large group of copies, with texts close to it but not of it) this is at most twice the bucket's rows, so it is not
    split. No bucket is capped and no pair of a bucket is passed over.
@@ -168,15 +169,16 @@ def _sizes_allow(a: Column, b: Column, similarity: float) -> Column:
 # --- Buckets that are not connected -------------------------------------------------------------------------
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """key, m, bytes, other (nodes outside the largest connected part) and blocks of the buckets in rows(key, id, n, label) with more than one label."""
+def _mixed(rows: DataFrame, least: int = 2) -> DataFrame:
+    """key, m, other (nodes outside the largest connected part), main (that part), blocks and chunks (places that all, or the others, fill) of the
+    buckets in rows(key, id, n, label) with more than one label and `least` nodes: stars have compared the two of a least hash, not those of parts."""
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("part"), F.sum("n").alias("n"))
     sizes = parts.groupBy("key").agg(
         F.sum("part").alias("m"), (F.sum("n") * 8).alias("bytes"), (F.sum("part") - F.max("part")).alias("other"), F.max_by("label", F.struct("part", "label")).alias("main")
     )
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
     chunks = F.ceil(F.greatest(F.col("other") / BLOCK_ROWS, F.col("other") / F.col("m") * F.col("bytes") / BLOCK_BYTES)).cast("int")
-    return sizes.filter("other > 0 and m > 2").select("key", "m", "other", "main", blocks.alias("blocks"), chunks.alias("chunks"))
+    return sizes.filter((F.col("other") > 0) & (F.col("m") >= least)).select("key", "m", "other", "main", blocks.alias("blocks"), chunks.alias("chunks"))
 
 
 #: Rows that meet if the nodes outside the largest part visit all blocks; buckets for which that can be more than twice their rows.
@@ -184,42 +186,56 @@ _WORK = "if(blocks = 1, m, m * chunks + other * blocks)"
 _SPLIT = "blocks > 1 and chunks > 1"
 
 
-def _split(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, level: int, scope: str) -> tuple[DataFrame, DataFrame]:
-    """(key, id, n, label) of the parts, by further hashes, of the buckets that these split to less work, and the keys of those buckets."""
-    large = store(rows.join(sizes.filter(_SPLIT).select("key"), "key", "left_semi"), "near-large", scope)
-    wanted = _small(large.select("id").distinct())
+def _work(sizes: DataFrame) -> int:
+    return sizes.agg(F.sum(F.expr(_WORK))).first()[0] or 0
+
+
+def _split(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, level: int, scope: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(key, id, n, label) of the parts, by further hashes, of the buckets that these split to less work, the parts' sizes, and the keys of
+    those buckets. A node has its keys once, however many of the buckets it is in: nodes of one bucket that share a key meet there."""
+    whole = sizes.filter(_SPLIT)
+    large = store(rows.join(whole.select("key"), "key", "left_semi"), "near-large", scope)
+    wanted = store(large.groupBy("id", "n", "label").agg(F.count("*").alias("times")), "near-wanted", scope)
 
     def make():
-        return lambda batch: {"id": batch.column(0), "band": [band_keys(shingle_set(t, width), level).tolist() for t in batch.column(1).to_pylist()]}
+        def step(batch: pa.RecordBatch) -> dict[str, object]:
+            own = dict(zip(("id", "n", "label", "times"), batch.columns, strict=False))
+            return own | {"band": [band_keys(shingle_set(t, width), level).tolist() for t in batch.column(4).to_pylist()]}
+
+        return step
 
-    bands = store(map_arrow(texts.join(wanted, "id", "left_semi").select("id", "text"), "id long, band array<long>", make), "near-bands", scope)
-    fine = large.join(bands, "id").select(F.col("key").alias("whole"), "id", "n", "label", F.explode("band").alias("band"))
-    fine = store(fine.select("whole", F.xxhash64("whole", "band").alias("key"), "id", "n", "label"), "near-fine", scope)
-    found = store(_mixed(fine.select("key", "id", "n", "label")), "near-fine-sizes", scope)
-    owners = fine.groupBy("key").agg(F.first("whole").alias("whole"))
-    work = found.join(owners, "key").groupBy("whole").agg(F.sum(F.expr(_WORK)).alias("work"))
-    better = sizes.filter(_SPLIT).join(work, F.col("key") == F.col("whole"), "left").filter(F.coalesce("work", F.lit(0)) < F.expr(_WORK)).select("key")
-    better = store(better, "near-better", scope)
-    kept = fine.join(better.select(F.col("key").alias("whole")), "whole", "left_semi").select("key", "id", "n", "label")
-    kept = store(kept.join(found.select("key"), "key", "left_semi"), "near-kept", scope)
-    return kept, better
+    bands = map_arrow(_with_texts(wanted, texts).select("id", "n", "label", "times", "text"), "id long, n int, label long, times long, band array<long>", make)
+    fine = store(bands.select("id", "n", "label", "times", F.explode("band").alias("key")), "near-fine", scope)
+    parts = store(_mixed(fine), "near-fine-sizes", scope)
+    # A part's work is due from its nodes, and a node's from the buckets that it is in, in equal shares.
+    due = fine.join(parts.select("key", (F.expr(_WORK) / F.col("m")).alias("due")), "key").groupBy("id").agg((F.sum("due") / F.first("times")).alias("due"))
+    due = large.join(due, "id").groupBy("key").agg(F.sum("due").alias("due"))
+    better = whole.join(due, "key", "left").filter(F.coalesce("due", F.lit(0)) < F.expr(_WORK))
+    better = store(better.select(*whole.columns), "near-better", scope)
+    kept = fine.join(parts.select("key"), "key", "left_semi")
+    kept = kept.join(_small(large.join(better, "key", "left_semi").select("id").distinct()), "id", "left_semi")
+    kept = store(kept.select("key", "id", "n", "label"), "near-kept", scope)
+    parts = store(_mixed(kept), "near-kept-sizes", scope)
+    return (kept, parts, better.select("key")) if _work(parts) < _work(better) else None
 
 
 def _meetings(nodes: DataFrame, texts: DataFrame, width: int, scope: str) -> DataFrame:
     """(key, block, chunk, visits, id, label): who meets where. Without visitors all in a place meet, else visitors and the others."""
     rows = nodes.select("id", "n", "label", F.explode("classes").alias("key"))
-    sizes = store(_mixed(rows), "near-mixed", scope)
+    sizes = store(_mixed(rows, 3), "near-mixed", scope)
     rows = store(rows.join(sizes.select("key"), "key", "left_semi"), "near-rows-mixed", scope)
     found, level = [], 0
     while True:
         if sizes.filter(_SPLIT).isEmpty():
             found.append((rows, sizes))
             break
-        fine, better = _split(rows, sizes, texts, width, level, scope)
-        found.append((rows.join(better, "key", "left_anti"), sizes.join(better, "key", "left_anti")))
-        if better.isEmpty():
+        split = _split(rows, sizes, texts, width, level, scope)
+        if split is None:
+            found.append((rows, sizes))
             break
-        rows, sizes, level = fine, store(_mixed(fine), "near-mixed", scope), level + 1
+        fine, parts, better = split
+        found.append((rows.join(better, "key", "left_anti"), sizes.join(better, "key", "left_anti")))
+        rows, sizes, level = fine, parts, level + 1
     met = None
     for rows, sizes in found:
         placed = rows.join(sizes.select("key", "main", "blocks", "chunks"), "key")

@@ -213,6 +213,36 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch, place, common):
     assert {r.doc_id: r.component_id for r in found} == wanted
 
 
+@pytest.mark.parametrize("many", [40, 80])
+def test_split_buckets_make_keys_once_a_text(spark, monkeypatch, many):
+    """Texts that meet in several large buckets, one for each class of hashes, have their further keys once, and lose no pair."""
+    from tessera.llm import near
+
+    made, store = [], near.store
+    monkeypatch.setattr(near, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(near, "store", lambda df, tag, *a, **o: (out := store(df, tag, *a, **o), tag == "near-fine" and made.append(out.count()))[0])
+    rng = random.Random(5)
+    word = lambda: str(rng.randrange(10**9))
+    passage = [word() for _ in range(140)]
+    texts = [passage + [word() for _ in range(40)] for _ in range(many)]
+    texts[-1] = texts[0][:-5]
+    found = near.near_duplicates(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: k for k in range(many)} | {many - 1: 0}
+    assert made and made[0] <= near.BANDS * many
+
+
+def test_two_texts_alone_in_a_part_are_compared(spark, monkeypatch):
+    """Twelve unlike texts share one least hash; the bucket is split, and the only similar two have their further keys to themselves."""
+    from tessera.llm import near
+
+    monkeypatch.setattr(near, "BLOCK_ROWS", 4)
+    texts = [" ".join(f"{k}x{i}" for i in range(180)) for k in range(12)]
+    texts[6] = texts[5].rsplit(" ", 10)[0]
+    nodes = spark.createDataFrame([(k, len(t.split()) - 4, [1], k) for k, t in enumerate(texts)], "id long, n int, classes array<long>, label long")
+    links = near._bucket_links(nodes, spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 5, 0.8, "op")
+    assert {(min(r), max(r)) for r in links.collect()} == {(5, 6)}
+
+
 def test_groups_of_thousands(spark):
     """5,000 near copies of one text, 5,000 unlike texts that share a passage, and 20 pairs hidden among those."""
     from tessera.llm import near
