@@ -1,6 +1,9 @@
-"""Token ids of whole texts by the tokenizers library, encoded once per distinct piece.
+"""Token ids of whole texts by the tokenizers library, encoded once per distinct word or piece.
 
-A byte-level BPE vocabulary splits texts before a space that follows a character other than white space, whatever
+A text of nothing but Latin letters, digits, ASCII punctuation and white space is split as the library does, and its
+ids are those of its words, which are kept in a bounded cache.
+
+In other texts, a byte-level BPE vocabulary splits before a space that follows a character other than white space, whatever
 stands around it, so the ids of a text are those of its pieces between single spaces, each with its space before
 it. Ids of pieces are kept in a bounded cache. Where runs of white space would make a piece depend on its
 neighbours, or the text has a special token's string, the whole text goes to the library.
@@ -17,6 +20,8 @@ from collections.abc import Callable
 from tessera.llm.common import give_back
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
+#: The library's own splitting, for the characters named here; in a text that has others, these words don't cover it.
+WORDS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[!-/:-@\[-`{-~]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 #: White space that takes in a space on either side of which the split depends on the neighbours.
 LINKED = re.compile(r"\s (?:\s|\Z)")
 #: Letters, then punctuation, on one line or two: words of the library's own splitting, taken straight to its BPE model.
@@ -104,7 +109,12 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text, without any added at its ends."""
-        if not self.by_piece or LINKED.search(text) or self.has_special and self.special.search(text):
+        if not self.by_piece or self.has_special and self.special.search(text):
+            return self._library(text)
+        words = WORDS.findall(text)
+        if sum(map(len, words)) == len(text):
+            return b"".join(map(self.words.__getitem__, words))
+        if LINKED.search(text):
             return self._library(text)
         first, *rest = text.split(" ")
         return (self._piece(first, "") if first else b"") + b"".join(map(self.pieces.__getitem__, rest))

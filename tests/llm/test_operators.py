@@ -292,6 +292,25 @@ def test_pieces_give_the_library_ids(library):
         assert np.frombuffer(e.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_texts_are_split_like_the_library_without_it(library, monkeypatch):
+    from tessera.llm.tokens import PieceEncoder
+
+    rng = random.Random(6)
+    plain = [*"abzÀÖØöøɏÉ019_ \t\n\r\x0b\x0c!\"#$%&'()*+,-./:;<=>?@[]^`{|}~", " foo", "  ", "'s", "'ll", "'S", "\n\n", " \n"]
+    odd = [*"×÷²½ª\x85\xa0\x1c　—中а́😀٣", "<|endoftext|>"]
+    texts = ["".join(rng.choices(plain, k=rng.randrange(1, 14))) for _ in range(3000)]
+    mixed = ["".join(rng.choices(plain + odd, k=rng.randrange(1, 14))) for _ in range(3000)]
+    e = PieceEncoder(capacity=300)
+    for text in texts + mixed:
+        assert np.frombuffer(e.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    e = PieceEncoder()
+    monkeypatch.setattr(e, "_library", lambda text: pytest.fail(f"{text!r} went to the library"))
+    for text in texts:
+        e.encode(text)
+    own = {text[a:b] for text in texts for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)}
+    assert set(e.words) == own and not e.pieces  # each word once, and nothing held twice
+
+
 def _ids(library):
     return [(d, library.encode(t or "", add_special_tokens=False).ids + [0]) for d, t in ROWS]
 
