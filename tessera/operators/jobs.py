@@ -1,10 +1,11 @@
-"""Delta jobs as rows: id, reference, and target or delta. Codecs run in Arrow batches, one job a row, in parallel."""
+"""Delta jobs as rows: id, reference, and target or delta. One job a row, in parallel: in Spark's own processes, what these don't do in Arrow batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import jvm
 from tessera.functions.kernels import functions
 from tessera.session import bounded_batches
 
@@ -26,13 +27,15 @@ def spread(rows: DataFrame, like: DataFrame | None = None) -> DataFrame:
 def create(jobs: DataFrame, version: str = "PA30", options: str = "") -> DataFrame:
     """jobs with a `delta` from `reference` to `target`. options: words of md5, sha1, sha256, bsdiff, auto."""
     bounded_batches(jobs.sparkSession)
-    return jobs.withColumn("delta", functions()["delta_create_with"]("reference", "target", F.lit(version), F.lit(options)))
+    if "auto" in options.split():
+        return jobs.withColumn("delta", functions()["delta_create_with"]("reference", "target", F.lit(version), F.lit(options)))
+    return jvm.encoded(jobs, "delta", "delta_create_with", "reference", "target", F.lit(version), F.lit(options))
 
 
 def apply(jobs: DataFrame, column: str = "result") -> DataFrame:
     """jobs with the target of `reference` and `delta`; a bad delta fails the query."""
     bounded_batches(jobs.sparkSession)
-    return jobs.withColumn(column, functions()["delta_apply"]("reference", "delta"))
+    return jvm.decoded(jobs, column, "delta_apply", "reference", "delta")
 
 
 def try_apply(jobs: DataFrame) -> DataFrame:
@@ -51,9 +54,7 @@ def try_apply_into(jobs: DataFrame, room: Column) -> DataFrame:
 
 def apply_reverse(jobs: DataFrame) -> DataFrame:
     """jobs with the `result`, and a delta `reverse` back from it."""
-    bounded_batches(jobs.sparkSession)
-    found = jobs.withColumn("_both", functions()["delta_apply_reverse"]("reference", "delta"))
-    return found.select(*jobs.columns, F.col("_both.target").alias("result"), F.col("_both.reverse").alias("reverse"))
+    return jvm.encoded(apply(jobs), "reverse", "delta_create_with", "result", "reference", F.lit("PA30"), F.lit(""))
 
 
 def info(deltas: DataFrame) -> DataFrame:
