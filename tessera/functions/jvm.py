@@ -19,8 +19,14 @@ from pyspark.sql import functions as F
 from tessera.functions.kernels import functions
 
 #: Classes by the names of the Python functions whose results they give. Decoders leave rows over (null) that the Python function then takes.
-ENCODERS = {"delta_create_with": "DeltaCreate"}
-DECODERS = {"delta_apply": "DeltaApply"}
+ENCODERS = {
+    "delta_create_with": "DeltaCreate", "lzms_compress": "LzmsCompress", "container_write": "ContainerWrite", "wim_write": "WimWrite",
+    "wim_solid_write": "WimSolidWrite", "bsdiff_create": "BsdiffCreate",
+}
+DECODERS = {
+    "delta_apply": "DeltaApply", "lzms_decompress": "LzmsDecompress", "container_read": "ContainerRead", "wim_read": "WimRead",
+    "wim_solid_range": "WimSolidRange", "lzms_expand": "Expand", "bsdiff_patch": "BsdiffPatch",
+}
 #: Classes of this version are verified without stack frames, which the compiler gets wrong in long methods.
 CLASS_VERSION = 49
 

@@ -123,6 +123,7 @@ FUNCTIONS = (
     ("manifest_base", manifests.extract_base, "binary", 1),
     ("lzms_compress", lzms.compress, "binary", 1),
     ("lzms_decompress", lzms.decompress, "binary", 2),
+    ("lzms_expand", lambda d, n: containers.expand(d, n), "binary", 2),
     ("xpress_decompress", xpress.decompress, "binary", 2),
     ("container_write", lambda d, n: containers.write_container(d, n), "binary", 2),
     ("container_read", lambda d: containers.read_container(d), "binary", 1),

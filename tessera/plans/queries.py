@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.kernels import functions
-from tessera.kernels import containers
+from tessera.functions import jvm
 from tessera.operators import bytes_ops, cases, chunks, images, jobs, matching, report, rifts
 from tessera.session import bounded_batches
 
@@ -121,61 +120,50 @@ def q_delta_info(spark, sf_dir):
 
 @query("q_lzms_roundtrip", _IDENTITY)
 def q_lzms_roundtrip(spark, sf_dir):
-    f = functions()
-    packed = _work(spark, sf_dir).withColumn("packed", f["lzms_compress"]("content"))
-    return _digest(packed.withColumn("plain", f["lzms_decompress"]("packed", F.octet_length("content"))), "plain")
+    packed = jvm.encoded(_work(spark, sf_dir), "packed", "lzms_compress", "content")
+    return _digest(jvm.decoded(packed, "plain", "lzms_decompress", "packed", F.octet_length("content")), "plain")
 
 
 @query("q_container_roundtrip", _IDENTITY)
 def q_container_roundtrip(spark, sf_dir):
-    f = functions()
-    packed = _work(spark, sf_dir).withColumn("packed", f["container_write"]("content", F.lit(1 << 16)))
-    return _digest(packed.withColumn("plain", f["container_read"]("packed")), "plain")
+    packed = jvm.encoded(_work(spark, sf_dir), "packed", "container_write", "content", F.lit(1 << 16))
+    return _digest(jvm.decoded(packed, "plain", "container_read", "packed"), "plain")
 
 
 @query("q_wim_roundtrip", _IDENTITY)
 def q_wim_roundtrip(spark, sf_dir):
-    f = functions()
-    packed = _work(spark, sf_dir).withColumn("packed", f["wim_write"]("content", F.lit(1 << 12)))
-    return _digest(packed.withColumn("plain", f["wim_read"]("packed", F.lit(1 << 12), F.octet_length("content"))), "plain")
+    packed = jvm.encoded(_work(spark, sf_dir), "packed", "wim_write", "content", F.lit(1 << 12))
+    return _digest(jvm.decoded(packed, "plain", "wim_read", "packed", F.lit(1 << 12), F.octet_length("content")), "plain")
 
 
 @query("q_wim_solid_chunks", _IDENTITY)
 def q_wim_solid_chunks(spark, sf_dir):
     """Solid resources, unpacked chunk by chunk in parallel, and put together again."""
     texts = _work(spark, sf_dir)
-    resources = texts.select("doc_id", functions()["wim_solid_write"]("content", F.lit(1 << 12)).alias("resource"))
+    resources = jvm.encoded(texts, "resource", "wim_solid_write", "content", F.lit(1 << 12)).select("doc_id", "resource")
     rows = chunks.solid_chunks(resources, "doc_id", "resource")
-    expand = _expander()
-    plain = chunks.reassembled(rows.select(F.col("key").alias("doc_id"), "chunk", expand("data", "plain").alias("content")), "doc_id", "content")
+    rows = jvm.decoded(rows, "content", "lzms_expand", "data", "plain")
+    plain = chunks.reassembled(rows.select(F.col("key").alias("doc_id"), "chunk", "content"), "doc_id", "content")
     return _digest(texts.select("doc_id").join(plain, "doc_id", "left").withColumn("content", F.coalesce("content", F.lit(b""))), "content")
 
 
-def _expander() -> Callable:
-    from tessera.functions.kernels import function
-
-    return function(containers.expand, "binary", 2)
-
-
 @query(
     "q_wim_range",
     f"SELECT doc_id, sha256(unhex(substr(hex(encode(t)), 2 * CAST(strlen(t) // 3 AS BIGINT) + 1, 2 * CAST((strlen(t) + 2) // 3 AS BIGINT)))) AS digest FROM ({_DOCS}) WHERE strlen(t) > 0",
 )
 def q_wim_range(spark, sf_dir):
     """The middle third of each document out of its solid resource; only the chunks that it lies in are unpacked."""
-    f, n = functions(), F.octet_length("content")
-    rows = _work(spark, sf_dir).filter(n > 0).withColumn("resource", f["wim_solid_write"]("content", F.lit(1 << 10)))
-    part = f["wim_solid_range"]("resource", F.floor(n / 3).cast("int"), F.floor((n + 2) / 3).cast("int"))
-    return rows.select("doc_id", F.sha2(part, 256).alias("digest"))
+    n = F.octet_length("content")
+    rows = jvm.encoded(_work(spark, sf_dir).filter(n > 0), "resource", "wim_solid_write", "content", F.lit(1 << 10))
+    rows = jvm.decoded(rows, "part", "wim_solid_range", "resource", F.floor(n / 3).cast("int"), F.floor((n + 2) / 3).cast("int"))
+    return rows.select("doc_id", F.sha2("part", 256).alias("digest"))
 
 
 @query("q_bsdiff_roundtrip", _IDENTITY)
 def q_bsdiff_roundtrip(spark, sf_dir):
     bounded_batches(spark)
-    f = functions()
-    pairs = jobs.with_neighbour(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    pairs = pairs.withColumn("patch", f["bsdiff_create"]("reference", "target"))
-    return _digest(pairs.withColumn("result", f["bsdiff_patch"]("reference", F.octet_length("target"), "patch")), "result")
+    pairs = jvm.encoded(jobs.with_neighbour(_table(spark, sf_dir, "documents"), "doc_id", "text"), "patch", "bsdiff_create", "reference", "target")
+    return _digest(jvm.decoded(pairs, "result", "bsdiff_patch", "reference", F.octet_length("target"), "patch"), "result")
 
 
 @query(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import jvm
-from tessera.functions.kernels import functions
+from tessera.functions.kernels import FUNCTIONS, functions
 from tessera.kernels import delta
 from tessera.operators import jobs
 from tessera.plans import queries as own
@@ -61,6 +61,52 @@ def test_large_deltas_in_segments_are_those_of_python(spark):
     assert bytes(found.result) == target and bytes(found.delta) == delta.create(b"".join(words), target)
 
 
+CODECS = [
+    ("lzms_compress", ["target"], "lzms_decompress", ["made", F.octet_length]),
+    ("container_write", ["target", 1 << 10], "container_read", ["made"]),
+    ("wim_write", ["target", 1 << 10], "wim_read", ["made", 1 << 10, F.octet_length]),
+    ("wim_solid_write", ["target", 600], "wim_solid_range", ["made", 0, F.octet_length]),
+    ("bsdiff_create", ["reference", "target"], "bsdiff_patch", ["reference", F.octet_length, "made"]),
+]
+
+
+def _columns(arguments):
+    return [F.col(a) if isinstance(a, str) else F.lit(a) if isinstance(a, int) else a("target") for a in arguments]
+
+
+@pytest.mark.parametrize(("encoder", "given", "decoder", "taken"), CODECS, ids=[c[0] for c in CODECS])
+def test_codecs_are_those_of_python(spark, encoder, given, decoder, taken):
+    pairs = _pairs(spark).filter("length(target) > 0 OR id > 0" if decoder != "wim_solid_range" else "length(target) > 0")
+    made = jvm.encoded(pairs, "made", encoder, *_columns(given)).withColumn("twin", functions()[encoder](*_columns(given))).persist()
+    assert made.filter("made <> twin OR made IS NULL").count() == 0
+    own = made.withColumn("own", jvm._function(spark.sparkContext, jvm.DECODERS[decoder])(*_columns(taken)))
+    assert own.filter("own <> target OR own IS NULL").count() == 0
+    assert jvm.decoded(made, "plain", decoder, *_columns(taken)).filter("plain <> target OR plain IS NULL").count() == 0
+
+
+@pytest.mark.parametrize(("encoder", "given", "decoder", "taken"), CODECS, ids=[c[0] for c in CODECS])
+def test_damaged_data_fail_as_in_python(spark, encoder, given, decoder, taken):
+    """A bit of each changed: what comes out is what the Python function makes, and what it fails on is left to it."""
+    twin = dict((name, f) for name, f, _, _ in FUNCTIONS)[decoder]
+    draw, rows = random.Random(11), []
+    for r in jvm.encoded(_pairs(spark).filter("length(target) between 20 and 3000"), "made", encoder, *_columns(given)).collect():
+        data = bytearray(r.made)
+        data[draw.randrange(len(data))] ^= 1 << draw.randrange(8)
+        rows.append((r.id, r.reference, r.target, data))
+    table = spark.createDataFrame(rows, "id int, reference binary, target binary, made binary").repartition(4)
+    wrong = 0
+    for r in table.withColumn("own", jvm._function(spark.sparkContext, jvm.DECODERS[decoder])(*_columns(taken))).collect():
+        arguments = [bytes(r[a]) if isinstance(a, str) else a if isinstance(a, int) else len(r.target) for a in taken]
+        try:
+            wanted = twin(*arguments)
+        except ValueError:
+            wanted, wrong = None, wrong + 1
+        assert r.own is None or bytes(r.own) == wanted
+    if wrong:
+        with pytest.raises(Exception, match="DeltaError|ValueError"):
+            jvm.decoded(table, "plain", decoder, *_columns(taken)).collect()
+
+
 def test_damaged_deltas_fail_as_in_python(spark):
     draw, rows = random.Random(5), []
     for k in range(120):
@@ -75,6 +121,12 @@ def test_damaged_deltas_fail_as_in_python(spark):
         jobs.apply(table).collect()
 
 
+@pytest.mark.parametrize("name", ["q_lzms_roundtrip", "q_container_roundtrip", "q_wim_roundtrip", "q_wim_solid_chunks", "q_wim_range", "q_bsdiff_roundtrip"])
+def test_codecs_of_documents_are_fast(spark, name):
+    """0.6 MB of texts took 10 to 20 core-seconds in Python."""
+    _fast(lambda: own.queries()[name](spark, SF).write.format("noop").mode("overwrite").save(), 4)
+
+
 @pytest.mark.parametrize("name", ["q_roundtrip_raw", "q_roundtrip_pa31", "q_roundtrip_hash_md5", "q_roundtrip_hash_sha256", "q_roundtrip_bsdiff_flag", "q_reverse", "q_delta_info"])
 def test_deltas_of_documents_are_fast(spark, name):
     """0.6 MB of texts took 5 to 20 core-seconds in Python."""
