@@ -31,13 +31,16 @@ def chunk_index(lengths: DataFrame, key: str, chunk: str, stored: str, start: in
 def solid_chunks(resources: DataFrame, key: str, data: str) -> DataFrame:
     """One row a chunk of solid resources, still packed, so that they unpack in parallel."""
     bounded_batches(resources.sparkSession, 8)
+    types = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 layout = containers.SolidLayout.parse(raw)
-                for number, (at, n) in enumerate(zip(layout.offsets(), layout.stored, strict=True)):
-                    yield pa.RecordBatch.from_pydict({"key": [k], "chunk": pa.array([number], pa.int32()), "stored": [n], "plain": [layout.plain(number)], "data": [raw[at : at + n]]})
+                numbers = range(len(layout.stored))
+                pieces = [raw[at : at + n] for at, n in zip(layout.offsets(), layout.stored, strict=True)]
+                columns = [[k] * len(numbers), numbers, layout.stored, [layout.plain(number) for number in numbers], pieces]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "chunk", "stored", "plain", "data"])
 
     return resources.select(F.col(key).cast("long"), data).mapInArrow(run, CHUNK)
 
