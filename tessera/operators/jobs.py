@@ -68,4 +68,5 @@ def with_neighbour(docs: DataFrame, key: str, value: str) -> DataFrame:
     """Pairs of related buffers out of one table: each row's value, and that of the row with the key before it (or none)."""
     own = docs.select(F.col(key), F.encode(F.coalesce(F.col(value), F.lit("")), "UTF-8").alias("target"))
     before = own.select((F.col(key) + 1).alias(key), F.col("target").alias("reference"))
-    return spread(own.join(before, key, "left").select(key, F.coalesce("reference", F.lit(b"")).alias("reference"), "target"), docs)
+    pairs = own.join(before, key, "left").select(key, F.coalesce("reference", F.lit(b"")).alias("reference"), "target")
+    return pairs if jvm.available(docs.sparkSession) else spread(pairs, docs)  # as the join deals them out, unless the codecs are slow
